@@ -5,22 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprint, mix, shards, url_filter
+from siltstone.llm import decontaminate, fingerprint, mix, ngram_join, secret_scan, shards, url_filter
 from siltstone.runtime import load
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(load(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.host_rule(verdict, rule) for verdict, rule in url_filter.CONTRACT_RULES]
     judged = url_filter.judge_urls(load(spark, sf_dir, "pages").select("page_id", "url"), [*rules, *url_filter.DEFAULT_PATTERNS])
     return judged.select("page_id", F.col("url_host").alias("host"), F.col("url_path").alias("path"), F.col("url_rule").alias("rule"), F.col("url_verdict").alias("verdict"), F.col("url_pattern").alias("pattern"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")
+    scanned = decontaminate.decontaminate(docs, benchmark, keep_text=False)
+    items = F.array_join("items", ",")
+    return scanned.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", mix.word_count(F.col("text")).alias("size"))
     planned = mix.plan_mix(docs)
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(load(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    findings = F.col("secret_findings")
+    base = F.filter(findings, lambda f: f["kind"] != "generic")
+    count = lambda field, value: F.size(F.filter(findings, lambda f: f[field] == value)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count("kind", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(_spans(base), 256).alias("base_sha256"),
+        _spans(findings).alias("spans"),
+        count("verdict", "live").alias("n_live"),
+        count("verdict", "example").alias("n_example"),
+    )
+
+
+def _spans(findings):
+    return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shards.shard(load(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -42,4 +72,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_url_filter, op4_mix, op9_shard, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_mix, op5_secret_scan, op9_shard, op10_fingerprint)}
