@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, fingerprint, labelled, mix, ngram_join, quality, secret_scan, shards, url_filter
+from siltstone.llm import decontaminate, fingerprint, html_extract, labelled, mix, ngram_join, quality, secret_scan, shards, url_filter
 from siltstone.runtime import load
 
 
@@ -58,6 +58,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (labelled.fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_pages(pages, text_col="text").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shards.shard(load(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=40)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -79,4 +84,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_mix, op5_secret_scan, op7_quality, op9_shard, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_mix, op5_secret_scan, op7_quality, op8_html_extract, op9_shard, op10_fingerprint)}
