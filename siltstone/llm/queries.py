@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import decontaminate, fingerprint, html_extract, labelled, mix, ngram_join, quality, secret_scan, shards, url_filter
+from siltstone.llm import decontaminate, fingerprint, html_extract, labelled, mix, ngram_join, quality, secret_scan, shards, toxicity, url_filter
 from siltstone.runtime import load
 
 
@@ -51,6 +51,13 @@ def _spans(findings):
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
+    scored = toxicity.score_toxicity(docs, labels, keep_text=False)
+    score = F.col("toxicity_score")
+    return scored.select("doc_id", (labelled.fold(F.col("doc_id"), toxicity.FOLDS) == toxicity.HELD_OUT).alias("held_out"), score.alias("score"), (score >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
     scored = quality.score_quality(docs, labels, keep_text=False)
@@ -84,4 +91,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_mix, op5_secret_scan, op7_quality, op8_html_extract, op9_shard, op10_fingerprint)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_url_filter, op3_decontaminate, op4_mix, op5_secret_scan, op6_toxicity, op7_quality, op8_html_extract, op9_shard, op10_fingerprint)}
