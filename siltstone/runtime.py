@@ -11,6 +11,7 @@ import zipfile
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Application id -> True once the package was shipped to its executors.
 _SHIPPED: set[str] = set()
@@ -48,6 +49,11 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, bound: int) -> DataFrame:
+    """``df`` marked for broadcasting if it has at most ``bound`` rows; else as it is, to be joined by shuffling."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that Python functions can be unpickled there."""
     sc: SparkContext = spark.sparkContext
