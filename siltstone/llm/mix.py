@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Salted parts of each size class of a source.
 SALTS = 16
-#: Size classes in each doubling of the size.
-CLASSES = 8
 
 
 def word_count(text: Column) -> Column:
@@ -46,6 +44,11 @@ def source_targets(sized: DataFrame, *, source: str = "source", size: str = "siz
     return w.select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _md5_number(*parts: Column) -> Column:
+    """The first 32 bits of the MD5 of the parts as text (null is empty): 0 to 2**32 - 1."""
+    return F.conv(F.substring(F.md5(F.concat(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 8), 16, 10).cast("long")
+
+
 def plan_mix(sized: DataFrame, *, id_col: str = "doc_id", source: str = "source", size: str = "size", weights: tuple[float, ...] = (1, 2, 3), max_repeat: int = 3, seed: int = 7, salts: int = SALTS) -> DataFrame:
     """``sized`` with the columns source_size, target and copies (how often the mix takes the row; 0 to ``max_repeat``).
 
@@ -56,8 +59,8 @@ def plan_mix(sized: DataFrame, *, id_col: str = "doc_id", source: str = "source"
     given = sized.drop("source_size", "target", "copies")
     rows = given.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
     rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
-    rows = rows.withColumn("_class", F.floor(F.log2(F.col("_size") + 1) * CLASSES).cast("int"))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(salts)).cast("int"))
+    rows = rows.withColumn("_class", F.floor(F.sqrt("_size")).cast("int"))
+    rows = rows.withColumn("_salt", (_md5_number(F.lit(f"{seed}:"), F.col(id_col)) % salts).cast("int"))
     cell = ["_source", "_class", "_salt"]
     targets = source_targets(rows.withColumn("_given", F.col(source)), source="_given", size="_size", weights=weights, max_repeat=max_repeat)
     targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_source"), "source_size", "target")
@@ -67,7 +70,7 @@ def plan_mix(sized: DataFrame, *, id_col: str = "doc_id", source: str = "source"
     placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*cell).orderBy("_size", id_col)))
     placed = placed.join(cells, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col("_source")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    offset = _md5_number(F.lit(f"{seed}:"), F.col("_source")) / F.lit(float(1 << 32))
     end = F.col("_before") + F.col("_at")
     copies = F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)
     placed = placed.withColumn("copies", F.least(copies, F.lit(max_repeat)).cast("int"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.components import components
-from siltstone.runtime import materialize, ship
+from siltstone.runtime import materialize, ship, small
 
 #: Equal segments that linked sets are sure to have. With three, a set may leave out its first two empty segments.
 SPARE = 3
@@ -34,8 +34,8 @@ SPARE = 3
 CHUNK_GRAMS = 150_000
 #: Cells of the membership matrix that one slice of queries may have.
 SLICE_CELLS = 8_000_000
-#: Up to so many clustered documents their ids are broadcast to the scan of texts; beyond they are joined by shuffling.
-BROADCAST_CLUSTERED = 2_000_000
+#: Up to so many ids are broadcast to a scan of the texts; more are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 
 
 class Band:
@@ -87,25 +87,45 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _outline(words: int, percent: int):
+def _outline(words: int):
+    """Rows (id, text): the size of the set and 128 bits that stand for it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, rows = batch.column(0), []
+            n, s1, s2 = [], [], []
             for grams in gram_sets(batch.column(1), words):
                 mixed = tokens.mix64(grams)
-                rows.append((len(grams), int(mixed.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(tokens.mix64(mixed ^ np.uint64(77)), initial=np.uint64(0)).view(np.int64)), signatures(grams, percent) if len(grams) else grams))
-                if len(rows) == 512:
-                    yield _outlined(ids, rows)
-                    ids, rows = ids.slice(512), []
-            if rows:
-                yield _outlined(ids, rows)
+                n.append(len(grams))
+                s1.append(mixed.sum(dtype=np.uint64).view(np.int64))
+                s2.append(np.bitwise_xor.reduce(tokens.mix64(mixed ^ np.uint64(77)), initial=np.uint64(0)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], ["id", "n", "s1", "s2"])
+
+    return run
+
+
+def _sign(words: int, percent: int):
+    """Rows (id, text): a row for each signature of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            made, owners, size = [], [], 0
+            for node, grams in zip(ids, gram_sets(batch.column(1), words), strict=True):
+                if len(grams):
+                    made.append(signatures(grams, percent))
+                    owners.append(np.full(len(made[-1]), node))
+                    size += len(made[-1])
+                if size > 200_000:
+                    yield _signed(made, owners)
+                    made, owners, size = [], [], 0
+            if made:
+                yield _signed(made, owners)
 
     return run
 
 
-def _outlined(ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
-    n, s1, s2, signs = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([ids.slice(0, len(rows)).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _lists(list(signs))], ["id", "n", "s1", "s2", "signs"])
+def _signed(made: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(owners))], ["sign", "node"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +295,7 @@ def _join_blocks(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_grams: int = CHUNK_GRAMS, broadcast_clustered: int = BROADCAST_CLUSTERED) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_grams: int = CHUNK_GRAMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, n_links.
 
     Words are what spaces and U+0009 to U+000D separate, A-Z lower-cased; a text's set has its distinct ``words``-grams, or
@@ -289,27 +309,27 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """
     ship(docs.sparkSession)
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    outline = materialize(given.mapInArrow(_outline(words, percent), "id long, n long, s1 long, s2 long, signs array<long>"), "ngram-outline")
+    outline = materialize(given.mapInArrow(_outline(words), "id long, n long, s1 long, s2 long"), "ngram-outline")
     key = ["n", "s1", "s2"]
-    classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("signs").alias("signs"))
+    classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "ngram-classes")
-    signed = classes.select(F.explode("signs").alias("sign"), "node")
+    heads = given.join(small(classes.select(F.col("node").alias("id")), broadcast_rows), "id", "left_semi")
+    signed = heads.mapInArrow(_sign(words, percent), "sign long, node long")
     chained = signed.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_chain, "a long, b long")
     clusters = components(chained)
     members = clusters.join(classes.select("node", "n", "copies"), "node")
     whole = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_grams).cast("int").alias("chunks"))
     members = members.join(whole, "root").select(F.col("node").alias("id"), "n", "copies", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "chunks", "root")
     members = materialize(members, "ngram-members")
-    few = members.count() <= broadcast_clustered
-    texts = given.join(F.broadcast(members) if few else members, "id").select("id", "text", "copies", "chunk", "chunks", "root")
+    texts = given.join(small(members, broadcast_rows), "id").select("id", "text", "copies", "chunk", "chunks", "root")
     dealt = texts.mapInArrow(_deal(words), "root long, one long, two long, chunk long, id long, copies long, grams array<long>")
     block = ["root", "one", "two"]
     links = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_join_blocks(percent), "a long, b long, links long")
     links = materialize(links, "ngram-links")
     roots = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    solved = classes.drop("signs").join(roots, "node", "left").join(counts, "node", "left")
+    solved = classes.join(roots, "node", "left").join(counts, "node", "left")
     solved = solved.select(*key, F.coalesce("root", "node").alias("_root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
-    rows = outline.drop("signs").join(solved, key, "left")
+    rows = outline.join(solved, key, "left")
     known = F.col("id").isNotNull()
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("_root", "id")).alias("component_id"), F.when(known, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

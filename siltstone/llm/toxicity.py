@@ -27,7 +27,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 32
 #: Words that are looked at as landmarks at most, by likelihood ratio; least ratio (a word of four toxic texts only passes).
 CANDIDATES, LEAST_RATIO = 1500, 14.0
 #: Words whose kernel values a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_500_000
 
 _KEPT = np.zeros(256, bool)
 _KEPT[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -130,9 +130,8 @@ class Reader:
             place = np.zeros(len(new), np.int32)
             place[some] = len(self.values) + np.arange(int(some.sum()), dtype=np.int32)
             self.values = np.concatenate([self.values, likes[some]])
-            order = np.argsort(np.concatenate([self.known, hashes[new]]), kind="stable")
-            self.known = np.concatenate([self.known, hashes[new]])[order]
-            self.place = np.concatenate([self.place, place])[order]
+            self.known = np.insert(self.known, where[new], hashes[new])
+            self.place = np.insert(self.place, where[new], place)
             where = np.searchsorted(self.known, hashes)
         return self.place[where]
 
