@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WORDS, K = 5, 128
+WORDS, K = 5, 256
 #: Hashes have 60 bits: 15 hexadecimal digits in a fingerprint.
 BITS = 60
 #: Bytes of text that one range of document ids should hold in ``with_next``.
