@@ -15,9 +15,9 @@ from siltstone.runtime import materialize
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that can be reached. Edges from a node to
     itself, repeated edges and both directions are fine; rows with a null end are dropped. No edges, no rows."""
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null")
-    nodes = pairs.where("u = v").select("u", "v").distinct()
-    current = materialize(pairs.where("u <> v").distinct(), "edges")
+    pairs = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    pairs = materialize(pairs.distinct(), "edges")
+    nodes, current = pairs.where("u = v"), pairs.where("u <> v")
     mark = None
     for _ in range(max_rounds):
         following = materialize(_small_star(_large_star(current)), "edges")
