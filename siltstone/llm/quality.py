@@ -17,7 +17,7 @@ from siltstone.llm import labelled, scan, tokens
 
 BUCKETS, RANK = 2048, 8
 #: Training rows of each class at most.
-PER_CLASS = 2500
+PER_CLASS = 2000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 #: Texts that are turned into dense feature rows at once.
 ROWS = 256

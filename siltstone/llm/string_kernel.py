@@ -49,19 +49,21 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     return total
 
 
-def common_length(s: np.ndarray, mask_of: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each row of ``s`` with one string, by bit operations; ``mask_of``: for
-    each byte the set of its places in that string."""
-    v = np.full(len(s), 0xFFFFFFFF, np.uint32)
-    for a in range(s.shape[1]):
-        m = mask_of[s[:, a]]
-        u = v & m
-        v = (v + u) | (v - u)
+def common_length(columns: np.ndarray, mask_of: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each word with one string, by bit operations. ``columns``: the words'
+    characters, one row for each place, as indices; ``mask_of``: for each byte the set of its places in that string."""
+    v = np.full(columns.shape[1], 0xFFFFFFFF, np.uint32)
+    for column in columns:
+        u = np.take(mask_of, column, mode="clip")
+        u &= v
+        w = v - u
+        v += u
+        v |= w
     x = ~v
-    x = x - ((x >> 1) & np.uint32(0x55555555))
+    x -= (x >> 1) & np.uint32(0x55555555)
     x = (x & np.uint32(0x33333333)) + ((x >> 2) & np.uint32(0x33333333))
     x = (x + (x >> 4)) & np.uint32(0x0F0F0F0F)
-    return ((x * np.uint32(0x01010101)) >> 24).astype(np.int64)
+    return (x * np.uint32(0x01010101)) >> 24
 
 
 class Landmarks:
@@ -84,10 +86,10 @@ class Landmarks:
         if not words or not self.words:
             return out
         rows, lengths = padded(words)
-        longest = int(lengths.max())
+        columns = rows[:, : int(lengths.max())].T.astype(np.intp)
         pairs = []
         for j in range(len(self.words)):
-            near = np.flatnonzero(common_length(rows[:, :longest], self.masks[j]) >= self.least[j])
+            near = np.flatnonzero(common_length(columns, self.masks[j]) >= self.least[j])
             pairs.append(np.stack([near, np.full(len(near), j)]))
         at, with_ = np.concatenate(pairs, axis=1)
         if len(at):

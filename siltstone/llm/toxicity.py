@@ -23,9 +23,14 @@ from siltstone.runtime import ship
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Training rows of each class at most.
 PER_CLASS = 3000
-TOXIC_LANDMARKS, CLEAN_LANDMARKS = 96, 32
-#: Words that are looked at as landmarks at most, by likelihood ratio; least ratio (a word of four toxic texts only passes).
+TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
+#: Words that are looked at as landmarks at most, by likelihood ratio; least ratio (what a word of four toxic texts
+#: among ten times as many clean ones has).
 CANDIDATES, LEAST_RATIO = 1500, 14.0
+#: So many times as often as in clean texts a landmark of the toxic kind must be in toxic ones.
+TOXIC_TIMES = 5
+#: A landmark is less like all those before it.
+ALIKE = 0.75
 #: Words whose kernel values a worker remembers.
 REMEMBERED = 1_500_000
 
@@ -165,9 +170,10 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], clean_texts: int, tox
         rate = (c + t) / max(1, clean_texts + toxic_texts)
         expected = rate * toxic_texts, rate * clean_texts
         ratio = 2 * sum(o * np.log(o / e) for o, e in zip((t, c), expected, strict=True) if o and e)
-        if t > 3 * expected[0] and ratio >= LEAST_RATIO:
+        in_toxic, in_clean = t / max(1, toxic_texts), c / max(1, clean_texts)
+        if in_toxic > TOXIC_TIMES * in_clean and ratio >= LEAST_RATIO:
             bad.append((-ratio, word))
-        elif t <= 1.5 * expected[0] + 1:
+        elif in_toxic <= 1.5 * in_clean:
             good.append((-c, word))
     bad.sort()
     good.sort()
@@ -175,7 +181,7 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], clean_texts: int, tox
     for _, word in bad:
         if len(chosen) == toxic:
             break
-        if not chosen or Landmarks(chosen).similar([word]).max() < 0.9:
+        if not chosen or Landmarks(chosen).similar([word]).max() < ALIKE:
             chosen.append(word)
     if not chosen:
         return []
