@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.embed import HashingProvider, Provider, embed
-from siltstone.functions.text import chunk_type, clean_prefix, has_prefix, hash_text, import_kind, token_estimate
+from siltstone.functions.text import chunk_type, clean_prefix, has_prefix, hash_text, token_estimate
 from siltstone.operators import architecture, lookup
 from siltstone.operators.attribute import primary_symbols
 from siltstone.operators.chunk import chunk_files
@@ -17,6 +17,7 @@ from siltstone.operators.extract import extract
 from siltstone.operators.resolve import resolve
 from siltstone.operators.search import search as run_search
 from siltstone.runtime import materialize
+from siltstone.schemas import import_kind
 from siltstone.sources import git
 from siltstone.sources.config import Config
 from siltstone.sources.files import scan_files

@@ -22,6 +22,6 @@ def scan_files(spark: SparkSession, root: str, *, extensions: Sequence[str] = tu
     path = F.url_decode(F.element_at(F.split("path", base, 2), 2))
     rows = whole.select(path.alias("path"), "content", (F.col("modificationTime").cast("double") * 1000).cast("long").alias("mtime_ms"))
     rows = rows.where(extension(F.col("path")).isin(*extensions)).where(~is_ignored(F.col("path"), read_patterns(ignore_text)))
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     rows = rows.withColumn("content", text)
     return rows.select("path", "content", F.length("content").cast("long").alias("size"), "mtime_ms", hash_text(F.col("content")).alias("sha256"), language_of(F.col("path")).alias("language_id"))
