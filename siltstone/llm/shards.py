@@ -35,8 +35,8 @@ def shard(docs: DataFrame, *, n_shards: int = 40, id_col: str = "doc_id", text_c
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     packed = hashed.repartition(buckets, "_bucket").groupBy("_bucket").agg(F.collect_list(F.struct("_hash", F.struct(*names).alias("_row"))).alias("_rows"))
-    packed = packed.join(F.broadcast(offsets) if buckets <= broadcast_buckets else offsets, "_bucket")
-    # Sorted first, as the order in which a bucket's rows arrive changes from run to run.
+    packed = packed.join(F.broadcast(offsets) if buckets <= broadcast_buckets else offsets, "_bucket").sortWithinPartitions("_bucket")
+    # Buckets of a task and rows of a bucket are sorted first, as the order in which they arrive changes from run to run.
     shuffled = packed.select("_before", F.posexplode(F.shuffle(F.array_sort("_rows", _by_hash), seed)).alias("_at", "_item"))
     at = F.col("_before") + F.col("_at")
     placed = shuffled.select("_item._row.*", at.alias("_place"))
