@@ -1,7 +1,7 @@
 """HTML extraction with a tree-structured graphical model over the DOM.
 
 Every block element is a variable: content or not. Its own features give it a potential, and each edge to its parent has one
-for the four pairs of values. Sum-product messages, first from the leaves up and then from the root down, give each element's
+for the four pairs of values, by the kind of the child (text block, plain container, marked as content or as something else). Sum-product messages, first from the leaves up and then from the root down, give each element's
 exact marginal; the text of elements whose marginal is one half or more is the page's main text. The weights maximise the
 likelihood of labelled pages.
 """
@@ -69,22 +69,42 @@ def features(page: Page) -> list[tuple[int, ...]]:
     return out
 
 
+#: Kinds of children for edges: text blocks, plain containers, what is marked as something else, what is marked as content.
+TEXT_TAGS = frozenset("p blockquote pre figcaption h1 h2 h3 h4 h5 h6 ul ol dl li dt dd table tbody thead tr td th".split())
+CONTAINER_TAGS, CONTENT_TAGS = frozenset(("div", "section")), frozenset(("article", "main"))
+EDGES = 4
+
+
+def edge_kinds(page: Page) -> list[int]:
+    """For each node the kind of the edge to its parent."""
+    out = []
+    for n in page.nodes:
+        marks = _of_marks(n.marks) if n.marks else ()
+        told = any(m != OTHER_TAG + 1 for m in marks) or n.hidden
+        good = n.tag in CONTENT_TAGS or bool(marks)
+        out.append(2 if told else 3 if good else 0 if n.tag in TEXT_TAGS else 1 if n.tag in CONTAINER_TAGS else 2)
+    return out
+
+
 class TreeModel:
-    """``unary``: weight of each feature for content; ``edge``: log potential of (parent value, own value)."""
+    """``unary``: weight of each feature for content; ``edge``: for each kind of child the log potentials of (parent value, own
+    value) = 00, 01, 10, 11."""
 
     def __init__(self, unary: list[float], edge: list[list[float]]):
         self.unary, self.edge = unary, edge
+        self._edge = [tuple(math.exp(x) for x in row) for row in edge]
 
     def marginals(self, page: Page, found: list[tuple[int, ...]]) -> tuple[list[float], list[tuple[float, float, float, float]]]:
         """Each node's probability of being content, and the joint probabilities of (parent, own) = 00, 01, 10, 11."""
         nodes, unary = page.nodes, self.unary
-        (e00, e01), (e10, e11) = ([math.exp(x) for x in row] for row in self.edge)
         n = len(nodes)
+        kinds = edge_kinds(page)
         own = [math.exp(max(-30.0, min(30.0, sum(unary[f] for f in fs)))) for fs in found]  # odds; value 0 has potential 1
         below0, below1 = [1.0] * n, own[:]  # own potential times the messages of the children
         sent0, sent1 = [1.0] * n, [1.0] * n
         for i in range(n - 1, 0, -1):
             a, b = below0[i], below1[i]
+            e00, e01, e10, e11 = self._edge[kinds[i]]
             m0, m1 = e00 * a + e01 * b, e10 * a + e11 * b
             s = m0 + m1
             m0, m1 = m0 / s, m1 / s
@@ -101,6 +121,7 @@ class TreeModel:
             # What the parent believes without this child, then across the edge, times what is below.
             up0, up1 = (1 - q) / sent0[i], q / sent1[i]
             a, b = below0[i], below1[i]
+            e00, e01, e10, e11 = self._edge[kinds[i]]
             j00, j01, j10, j11 = up0 * e00 * a, up0 * e01 * b, up1 * e10 * a, up1 * e11 * b
             s = j00 + j01 + j10 + j11
             joint[i] = (j00 / s, j01 / s, j10 / s, j11 / s)
@@ -108,32 +129,38 @@ class TreeModel:
         return prob, joint
 
 
-def fit(pages: list[tuple[str, list[int]]], *, steps: int = 60, rate: float = 0.4, decay: float = 1e-3) -> TreeModel:
-    """Maximum likelihood by gradient ascent with momentum; ``pages`` are (html, label of each node)."""
+def fit(pages: list[tuple[str, list[int]]], *, steps: int = 90, rate: float = 0.15, decay: float = 2e-4) -> TreeModel:
+    """Maximum likelihood by Adam; ``pages`` are (html, label of each node)."""
     ready = []
     for text, labels in pages:
         page = parse(text)
         assert len(page.nodes) == len(labels), "labels don't fit the page's nodes"
-        ready.append((page, features(page), labels))
+        ready.append((page, features(page), edge_kinds(page), labels))
     total = sum(len(labels) for *_, labels in ready)
-    theta = np.zeros(FEATURES + 4)
-    velocity = np.zeros_like(theta)
-    for _ in range(steps):
-        model = TreeModel(theta[:FEATURES].tolist(), theta[FEATURES:].reshape(2, 2).tolist())
-        grad = np.zeros_like(theta)
-        for page, found, labels in ready:
-            prob, joint = model.marginals(page, found)
+    theta = np.zeros(FEATURES + 4 * EDGES)
+    moment, square = np.zeros_like(theta), np.zeros_like(theta)
+
+    def model() -> TreeModel:
+        return TreeModel(theta[:FEATURES].tolist(), theta[FEATURES:].reshape(EDGES, 4).tolist())
+
+    for step in range(1, steps + 1):
+        now, grad = model(), [0.0] * len(theta)
+        for page, found, kinds, labels in ready:
+            prob, joint = now.marginals(page, found)
             for i, fs in enumerate(found):
                 d = labels[i] - prob[i]
                 for f in fs:
                     grad[f] += d
                 if i:
-                    grad[FEATURES + 2 * labels[page.nodes[i].parent] + labels[i]] += 1
-                    for k in range(4):
-                        grad[FEATURES + k] -= joint[i][k]
-        velocity = 0.9 * velocity + grad / total - decay * theta / 10
-        theta = theta + rate * velocity * 5
-    return TreeModel(theta[:FEATURES].tolist(), theta[FEATURES:].reshape(2, 2).tolist())
+                    at = FEATURES + 4 * kinds[i]
+                    grad[at + 2 * labels[page.nodes[i].parent] + labels[i]] += 1
+                    for k, q in enumerate(joint[i]):
+                        grad[at + k] -= q
+        slope = np.array(grad) / total - decay * theta
+        moment = 0.9 * moment + 0.1 * slope
+        square = 0.95 * square + 0.05 * slope**2
+        theta = theta + rate * (moment / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.95**step)) + 1e-8)
+    return model()
 
 
 @lru_cache(1)

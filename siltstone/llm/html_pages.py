@@ -147,8 +147,12 @@ class _Writer:
             self.open(tag, 1, marks)
         if rng.random() < 0.8:
             self.leaf("h1", 1, self.words(1, 10))
-        for _ in range(rng.randint(1, 12)):
-            self.inside()
+        terse = bool(tag) and rng.random() < 0.25  # a poem, a transcript, a list of lines
+        for _ in range(rng.randint(10, 50) if terse else rng.randint(1, 12)):
+            if terse and rng.random() < 0.9:
+                self.leaf("p", 1, self.words(1, 3))
+            else:
+                self.inside()
             if rng.random() < 0.08:
                 self.outside(rng.choice(["ad", "aside", "form", "share", "notice", "nav"]))
         if tag and rng.random() < 0.15:

@@ -143,11 +143,11 @@ def test_marginals_are_exact():
 
     page = parse("<div class=ad><p>x</p></div><article><p>words here</p><ul><li>y</li></ul></article>")
     found = html_extract.features(page)
-    model = html_extract.TreeModel([((i * 37) % 11 - 5) / 4 for i in range(html_extract.FEATURES)], [[0.4, -0.9], [-0.3, 0.8]])
+    model = html_extract.TreeModel([((i * 37) % 11 - 5) / 4 for i in range(html_extract.FEATURES)], [[0.4, -0.9, -0.3, 0.8], [0.1, 0.2, -0.5, 0.6], [-0.7, 0.3, 0.2, 0.0], [0.3, 0.3, -0.2, 0.9]])
     weights = np.zeros(len(page.nodes))
     total = 0.0
     for ys in product((0, 1), repeat=len(page.nodes)):
-        w = math.exp(sum(y * sum(model.unary[f] for f in fs) for y, fs in zip(ys, found, strict=True)) + sum(model.edge[ys[n.parent]][ys[i]] for i, n in enumerate(page.nodes) if i))
+        w = math.exp(sum(y * sum(model.unary[f] for f in fs) for y, fs in zip(ys, found, strict=True)) + sum(model.edge[html_extract.edge_kinds(page)[i]][2 * ys[n.parent] + ys[i]] for i, n in enumerate(page.nodes) if i))
         total += w
         weights += w * np.array(ys)
     assert np.allclose(model.marginals(page, found)[0], weights / total)
