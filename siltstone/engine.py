@@ -57,7 +57,7 @@ class Engine:
         imports = parsed.select(F.col("path").alias("from_path"), F.inline("imports")).select("from_path", import_kind(F.col("kind")).alias("kind"), F.col("specifier").alias("to_specifier")).distinct()
         resolved = resolve(imports, every).withColumn("id", key("from_path", "kind", "to_specifier"))
         self.store.write("dependencies", resolved.select(*ids, "id", "from_path", "to_specifier", "to_path", "kind", F.coalesce("dependency_type", F.lit("unresolved")).alias("dependency_type")))
-        made = chunk_files(content.join(parsed.select("path", "chunks"), "path"), plugin_chunks="chunks").drop("chunks")
+        made = chunk_files(content.join(parsed.select("path", "chunks"), "path"), plugin_chunks="chunks")
         made = materialize(made.select(F.col("path").alias("file_path"), "start_line", "end_line", F.col("chunk_type").alias("stated"), "primary_symbol", F.col("content").alias("text")).where("trim(text) <> ''").dropDuplicates(["file_path", "start_line", "end_line"]), "chunks")
         best = primary_symbols(made.drop("text"), symbols.select("file_path", "kind", "name", "start_line", "end_line"), keys=["file_path"], chunk_key=["file_path", "start_line", "end_line"])
         best = best.select("file_path", "start_line", "end_line", F.col("s_name").alias("inferred"))

@@ -140,7 +140,7 @@ def heuristic_chunks(content: Column, language: str) -> Column:
 
 def chunk_files(files: DataFrame, *, content_col: str = "content", language_col: str = "language_id", plugin_chunks: str | None = None) -> DataFrame:
     """[CHK-6] A row for each chunk of each file: those of the language's extractor if it made any (array column
-    ``plugin_chunks``), else heuristic ones, else adaptive ones."""
+    ``plugin_chunks``), else heuristic ones, else adaptive ones. The chunk's content takes the place of the file's."""
     content, language = F.col(content_col), F.col(language_col)
     heuristic = F.array().cast(_CHUNK)
     for name in DEFINITIONS:
@@ -148,7 +148,8 @@ def chunk_files(files: DataFrame, *, content_col: str = "content", language_col:
     made = F.when(F.size(heuristic) > 0, heuristic).otherwise(adaptive_chunks(content, language))
     if plugin_chunks:
         made = F.when(F.size(F.coalesce(F.col(plugin_chunks), F.array().cast(_CHUNK))) > 0, F.col(plugin_chunks).cast(_CHUNK)).otherwise(made)
-    return files.withColumn("_chunks", made).select(*files.columns, F.inline("_chunks"))
+    kept = [c for c in files.columns if c not in (content_col, plugin_chunks)]
+    return files.withColumn("_chunks", made).select(*kept, F.inline("_chunks"))
 
 
 def definition_chunks(docs: DataFrame, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
