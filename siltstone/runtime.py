@@ -13,8 +13,10 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Application id -> True once the package was shipped to its executors.
+#: Applications whose executors have this package.
 _SHIPPED: set[str] = set()
+#: Tables that ``materialize`` wrote and ``release_tables`` has not removed.
+_WRITTEN: list[str] = []
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,9 +48,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_tables(spark: SparkSession) -> None:
+    """Remove the tables that this process materialised. Results that were built on them must have been written before."""
+    sc = spark.sparkContext
+    while _WRITTEN:
+        path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small(df: DataFrame, bound: int) -> DataFrame:
     """``df`` marked for broadcasting if it has at most ``bound`` rows; else as it is, to be joined by shuffling."""
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
