@@ -1,23 +1,23 @@
 """N-gram Jaccard join by prefix trees.
 
 1. Every document becomes its set of word n-gram hashes. Documents with equal sets are one class.
-2. Which classes could link at all: the hash range is cut into more segments than two linked sets can differ in, so linked
-   sets agree on a whole segment. Classes that share a segment's signature are chained to the least of them, and the
-   chains' components are the clusters; two linked classes are always in one cluster.
+2. Which classes could link at all, by prefix filters. In the order of their hashes, the first n-grams of two linked sets
+   (twice the share in which they may differ) have a known number in common. Only these are counted over the corpus; a
+   class with fewer shared ones among them drops out. Of a class's shared ones, rarest first, so many come before that
+   number that one of them must be common too: these are its signs. Classes with a common sign are chained to the least
+   of them, and the chains' components are the clusters; two linked classes are always in one cluster.
 3. Each cluster is cut into chunks of bounded size, and each pair of chunks is a block. Inside a block the sets, in one order
    of all its n-grams (most frequent first), are a prefix tree. All queries of the block walk down it together: what they
    overlap with a shared path is counted once, and a subtree is left by each query for which the overlap so far plus the
    shorter of the two remaining lengths cannot reach the threshold.
 4. The links' components, found from a spanning forest of each block, are the result.
 
-No pair of documents is ever a row. The n-grams of documents outside clusters are never stored or shuffled, only one
-signature for about ten n-grams.
+No pair of documents is ever a row. Whole sets are only made of documents in clusters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ from siltstone.llm import tokens
 from siltstone.llm.components import components
 from siltstone.runtime import materialize, ship, small
 
-#: Equal segments that linked sets are sure to have. With three, a set may leave out its first two empty segments.
-SPARE = 3
+#: Counts of an n-gram are told apart up to this; those beyond count as equally frequent.
+MOST_COUNTED = 1024
 #: N-grams in a chunk of a cluster. A longer document is a chunk of its own.
 CHUNK_GRAMS = 150_000
 #: Cells of the membership matrix that one slice of queries may have.
@@ -38,39 +38,14 @@ SLICE_CELLS = 8_000_000
 BROADCAST_ROWS = 2_000_000
 
 
-class Band:
-    """Sizes ``low`` to ``high``; two sets that can link lie in one band or in two that adjoin."""
+def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
+    """Of a set of ``n``: how many n-grams its prefix has, and how many of them it shares with the prefix of each linked set.
 
-    def __init__(self, index: int, low: int, percent: int):
-        self.index, self.low, self.high = index, low, low * 100 // percent
-        # |x ^ y| <= (1 - t) / (1 + t) * (|x| + |y|), and both sizes are at most ``high``.
-        self.segments = 2 * self.high * (100 - percent) // (100 + percent) + SPARE
-        self.edges = np.array([(j << 64) // self.segments for j in range(self.segments)], np.uint64)
-
-
-@lru_cache(None)
-def _bands(percent: int, size: int) -> tuple[Band, ...]:
-    """All bands up to one past that of ``size``."""
-    out = [Band(0, 1, percent)]
-    while out[-1].low <= size:
-        out.append(Band(len(out), out[-1].high + 1, percent))
-    return tuple(out)
-
-
-def signatures(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of the set's segments in its own band and in the next one."""
-    bands = _bands(percent, 1 << (len(grams)).bit_length())
-    own = next(b.index for b in bands if b.low <= len(grams) <= b.high)
-    sums = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(tokens.mix64(grams), out=sums[1:])
-    out = []
-    for band in bands[own : own + 2]:
-        at = np.append(np.searchsorted(grams, band.edges), len(grams))
-        made = tokens.mix64(sums[at[1:]] - sums[at[:-1]] + np.arange(1, band.segments + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        made = tokens.mix64(made ^ np.uint64(band.index + 1))
-        empty = at[1:] == at[:-1]
-        out.append(made if empty.sum() >= SPARE else made[~empty])
-    return np.concatenate(out)
+    A linked set lacks at most n - ceil(t n) of them. With l = ceil((1 - t) n) more than that in the prefix, the set whose prefix
+    ends first has l of its own in common with the other's; the least linked set has ceil(t n), hence its l counts.
+    """
+    need = -(-n * percent // 100)
+    return n - need + -(-n * (100 - percent) // 100), max(1, -(-need * (100 - percent) // 100))
 
 
 def gram_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
@@ -103,29 +78,91 @@ def _outline(words: int):
     return run
 
 
-def _sign(words: int, percent: int):
-    """Rows (id, text): a row for each signature of the set."""
+def _prefix(words: int, percent: int):
+    """Rows (id, text): a row (gram, node, least) for each n-gram of the set's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            made, owners, size = [], [], 0
+            made, owners, least, size = [], [], [], 0
             for node, grams in zip(ids, gram_sets(batch.column(1), words), strict=True):
                 if len(grams):
-                    made.append(signatures(grams, percent))
-                    owners.append(np.full(len(made[-1]), node))
-                    size += len(made[-1])
+                    count, shared = prefix_sizes(len(grams), percent)
+                    made.append(grams[:count])
+                    owners.append(np.full(count, node))
+                    least.append(np.full(count, shared, np.int32))
+                    size += count
                 if size > 200_000:
-                    yield _signed(made, owners)
-                    made, owners, size = [], [], 0
+                    yield _rows(["gram", "node", "least"], np.concatenate(made).view(np.int64), np.concatenate(owners), np.concatenate(least))
+                    made, owners, least, size = [], [], [], 0
             if made:
-                yield _signed(made, owners)
+                yield _rows(["gram", "node", "least"], np.concatenate(made).view(np.int64), np.concatenate(owners), np.concatenate(least))
 
     return run
 
 
-def _signed(made: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(made).view(np.int64)), pa.array(np.concatenate(owners))], ["sign", "node"])
+def _rows(names: list[str], *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, node, least) sorted by gram: those whose gram is in two prefixes or more, with its count, MOST_COUNTED at
+    most. No more rows than that are held for a gram."""
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    frequent = None
+
+    def out(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = counts > 1
+        if keep.any():
+            gram, node, least = (c[keep] for c in columns)
+            yield _rows(["node", "least", "count", "gram"], node, least, counts[keep].astype(np.int32), gram)
+
+    for batch in batches:
+        columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        starts = _starts(columns[0])
+        sizes = np.diff(np.append(starts, len(columns[0])))
+        counts = np.repeat(np.minimum(sizes, MOST_COUNTED), sizes)
+        if columns[0][0] == frequent:
+            counts[: sizes[0]] = MOST_COUNTED
+        last, gram = int(starts[-1]), columns[0][-1]
+        if gram == frequent or sizes[-1] >= MOST_COUNTED:  # known to be frequent, however many follow
+            frequent, last = gram, len(columns[0])
+        yield from out([c[:last] for c in columns], counts[:last])
+        held = [c[last:] for c in columns]
+    yield from out(held, np.full(len(held[0]), len(held[0])))
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (node, least, count, gram) sorted by node, count, gram: the signs of each node that shares enough."""
+
+    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, least, gram = columns
+        if not len(node):
+            return
+        starts = _starts(node)
+        sizes = np.diff(np.append(starts, len(node)))
+        place = np.arange(len(node)) - np.repeat(starts, sizes)
+        keep = place < np.repeat(sizes, sizes) - least + 1
+        if keep.any():
+            yield _rows(["sign", "node"], gram[keep], node[keep])
+
+    held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+    for batch in batches:
+        columns = [np.concatenate([h, batch.column(i).to_numpy()]) for h, i in zip(held, (0, 1, 3), strict=True)]
+        if not len(columns[0]):
+            continue
+        last = int(_starts(columns[0])[-1])
+        yield from out([c[:last] for c in columns])
+        held = [c[last:] for c in columns]
+    yield from out(held)
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,7 +351,9 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes, "ngram-classes")
     heads = given.join(small(classes.select(F.col("node").alias("id")), broadcast_rows), "id", "left_semi")
-    signed = heads.mapInArrow(_sign(words, percent), "sign long, node long")
+    prefixes = heads.mapInArrow(_prefix(words, percent), "gram long, node long, least int")
+    shared = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_counted, "node long, least int, count int, gram long")
+    signed = shared.repartition("node").sortWithinPartitions("node", "count", "gram").mapInArrow(_sign, "sign long, node long")
     chained = signed.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_chain, "a long, b long")
     clusters = components(chained)
     members = clusters.join(classes.select("node", "n", "copies"), "node")

@@ -207,3 +207,25 @@ def test_ownership_tells_examples_from_live_ones(spark):
     assert [(f["kind"], f["verdict"]) for f in got[51]] == [("generic", "live")] and got[100] == []
     assert secret_scan.redact(generic, [f.asDict() for f in got[51]]) == "key <generic> here"
     assert secret_scan.scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_counts_of_grams_over_batches(monkeypatch):
+    monkeypatch.setattr(ngram_join, "MOST_COUNTED", 4)
+    grams = sorted([1] * 3 + [2] + [3] * 9 + [4] * 2 + [5] + [6] * 4)
+    for step in (1, 2, 3, 5, 50):
+        batches = [ngram_join._rows(["gram", "node", "least"], np.array(grams[i : i + step]), np.arange(i, min(i + step, len(grams))), np.ones(len(grams[i : i + step]), np.int32)) for i in range(0, len(grams), step)]
+        got = sorted((r["node"], r["gram"], r["count"]) for b in ngram_join._counted(iter(batches)) for r in b.to_pylist())
+        assert got == [(i, g, min(4, grams.count(g))) for i, g in enumerate(grams) if grams.count(g) > 1]
+
+
+def test_prefixes_of_linked_sets_share_enough():
+    rng = np.random.default_rng(5)
+    for percent in (80, 90):
+        for n in (1, 2, 5, 9, 10, 11, 40, 200):
+            for _ in range(30):
+                x = np.unique(rng.integers(0, 2**62, n))
+                y = np.unique(np.concatenate([x[rng.random(len(x)) > (100 - percent) / 150], rng.integers(0, 2**62, rng.integers(0, n // 8 + 1))]))
+                both = len(np.intersect1d(x, y))
+                if len(y) and 100 * both >= percent * (len(x) + len(y) - both):
+                    (p, a), (q, b) = ngram_join.prefix_sizes(len(x), percent), ngram_join.prefix_sizes(len(y), percent)
+                    assert len(np.intersect1d(x[:p], y[:q])) >= max(a, b)
