@@ -6,6 +6,7 @@ import hashlib
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import pandas as pd
@@ -23,6 +24,19 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def _pieces(word: str, size: int) -> list[tuple[int, float]]:
+    """Place and signed weight of a word and of each of its three-letter pieces."""
+    out = []
+    for piece, weight in [(word, 1.0), *((word[i : i + 3], 0.3) for i in range(len(word) - 2))]:
+        h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "big")
+        out.append((h % size, weight if h >> 63 else -weight))
+    return out
+
+
+#: Short words' pieces, in bounded memory.
+_remembered = lru_cache(maxsize=50_000)(_pieces)
+
+
 class HashingProvider:
     """Signed hashing of words and of their three-letter pieces, L2-normalised: texts that share names are near each other."""
 
@@ -36,9 +50,8 @@ class HashingProvider:
         out = [0.0] * self.size
         words = re.findall("[a-z0-9]+", re.sub("([a-z0-9])([A-Z])", r"\1 \2", text).lower())
         for w in words:
-            for piece, weight in [(w, 1.0), *((w[i : i + 3], 0.3) for i in range(len(w) - 2))]:
-                h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "big")
-                out[h % self.size] += weight if h >> 63 else -weight
+            for at, weight in _remembered(w, self.size) if len(w) <= 32 else _pieces(w, self.size):
+                out[at] += weight
         norm = math.sqrt(sum(x * x for x in out))
         return [x / norm for x in out] if norm else [1.0, *out[1:]]
 

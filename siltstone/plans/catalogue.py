@@ -676,5 +676,5 @@ def streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
-    """VEC-1, VEC-4, VEC-5"""
-    return embed(load(spark, sf, "documents").select("doc_id", "text"), HashingProvider(64), text_col="text", token_budget=512).select("doc_id", "embedding")
+    """VEC-1, VEC-5: whole texts; trimming is for a provider whose context overflows (VEC-4)."""
+    return embed(load(spark, sf, "documents").select("doc_id", "text"), HashingProvider(64), text_col="text").select("doc_id", "embedding")

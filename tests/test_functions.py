@@ -1,10 +1,14 @@
 """Golden cases of the scalar functions."""
 
+import hashlib
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
 from siltstone.functions.embed import HashingProvider, embed
+from siltstone.plans.catalogue import QUERIES
 from siltstone.schemas import read_metrics, read_status, stored_status
 
 
@@ -99,3 +103,19 @@ def test_embedding(spark):
     got = {r["i"]: r["embedding"] for r in embed(rows, HashingProvider(64)).collect()}
     dot = lambda a, b: sum(x * y for x, y in zip(got[a], got[b], strict=True))
     assert len(got[1]) == 64 and dot(1, 2) > dot(1, 3) and abs(dot(4, 4) - 1) < 1e-6
+
+
+def test_embed_hash_takes_whole_texts(spark, tmp_path):
+    same, words = "shared opening words " * 400, "render sprite frame and more of it"
+    texts = [(1, same + words), (2, same + words[::-1]), (3, same + words), (4, "a" * 40 + " " + same)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["embedding"] for r in QUERIES["embed_hash"](spark, str(tmp_path)).collect()}
+    assert got[1] != got[2] and got[1] == got[3]
+    for i, text in texts:
+        out = [0.0] * 64
+        for w in text.split():
+            for piece, weight in [(w, 1.0), *((w[k : k + 3], 0.3) for k in range(len(w) - 2))]:
+                h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "big")
+                out[h % 64] += weight if h >> 63 else -weight
+        norm = math.sqrt(sum(x * x for x in out))
+        assert got[i] == pytest.approx([x / norm for x in out], abs=1e-6)
