@@ -239,6 +239,12 @@ def dependents_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return links.join(targets, "href", "left_semi").groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("dependents"))
 
 
+@query(f"WITH {_LINKS} SELECT href, string_agg(DISTINCT module, ',' ORDER BY module) AS dependents FROM links GROUP BY href")
+def dependents_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
+    """JOIN-8 for every link; ``dependents_lookup`` and its SQL answer for hrefs of at most five characters."""
+    return _links(spark, sf).groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("dependents"))
+
+
 # --- text functions -----------------------------------------------------------------------------------------------------------------
 
 _HASH = r"sha256(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(65279), ''), '\s+$', ''))"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import architecture, attribute, chunk, graph, lookup, resolve, vector
 from siltstone.operators.extract import entry_points, extract, function_chunks, parse_file
 from siltstone.operators.search import search
+from siltstone.plans.catalogue import QUERIES
 from siltstone.sources import git, ignore, store
 
 
@@ -242,3 +243,10 @@ def test_attribution_top_one_is_stable(spark):
     symbols = spark.createDataFrame([("f", "class", "Big", 1, 40), ("f", "function", "late", 6, 8), ("f", "function", "early", 2, 30), ("f", "function", "around", 0, 50)], "file_path string, kind string, name string, start_line int, end_line int")
     best = attribute.primary_symbols(chunks, symbols, keys=["file_path"], chunk_key=["file_path", "start_line", "end_line"])
     assert [r["s_name"] for r in best.collect()] == ["early"]
+
+
+def test_dependents_of_links_of_any_length(spark, tmp_path):
+    pages = [(1, "http://a.org/x", '<a href="/p"><a href="/long/path.html">'), (2, "http://b.org/y", '<a href="/long/path.html">'), (3, "http://c.org/", "none")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["href"]: r["dependents"] for r in QUERIES["dependents_lookup_all"](spark, str(tmp_path)).collect()}
+    assert got == {"/p": "a.org", "/long/path.html": "a.org,b.org"}
