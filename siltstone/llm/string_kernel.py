@@ -68,12 +68,13 @@ def common_length(columns: np.ndarray, mask_of: np.ndarray) -> np.ndarray:
 
 class Landmarks:
     """Normalised kernel values of words with fixed strings. A pair whose longest common subsequence is shorter than ``share``
-    of the landmark counts as 0, so that the full kernel is taken of few pairs only."""
+    of the landmark counts as 0, so that the full kernel is taken of few pairs only. With ``share`` 0 the values are exact: pairs
+    that have fewer than ``ORDER`` characters in common, whose kernel is 0, are all that is left out."""
 
     def __init__(self, words: list[bytes], share: float = 0.7):
         self.words = words
         self.rows, self.lengths = padded(words)
-        self.least = np.maximum(3, np.ceil(share * self.lengths)).astype(np.int64)
+        self.least = np.maximum(ORDER, np.ceil(share * self.lengths)).astype(np.int64)
         self.masks = np.zeros((len(words), 256), np.uint32)
         for i, w in enumerate(words):
             for b, c in enumerate(w):

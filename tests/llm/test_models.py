@@ -218,3 +218,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in rows} <= {(r["doc_id"], r["text"]) for r in kept.collect()}
     counts = np.bincount([r["shard"] for r in rows], minlength=40)
     assert counts.max() - counts.min() <= 1 and len(rows) > 50
+
+
+def test_hits_add_up_and_kernels_are_exact():
+    mark = Landmarks([b"bomentemi"], share=0.0)
+    words = [b"bomentado", b"momento", b"table", b"bomentemi"]
+    got, (rows, _) = mark.similar(words)[:, 0], padded(words)
+    for i in range(len(words)):
+        own = float(kernel(rows[i : i + 1], rows[i : i + 1])[0] * mark.own[0])
+        assert got[i] == pytest.approx(float(kernel(rows[i : i + 1], mark.rows)[0]) / math.sqrt(own), abs=1e-5)
+    assert 0 < got[1] < 0.7 and lcs(b"bomentado", b"bomentemi") < 0.7 * 9 and got[0] > 0
+    reader = toxicity.Reader(mark)
+    once, often, short, none = reader.texts(pa.array(["plain bomentemi", "bomentemi plain " * 8, "bomentado", ""]))[:, 0]
+    assert often > 2 * once > 0 and 0 < short < once and none == 0
+    assert reader.texts(pa.array(["plain bomentemi " * 40_000]))[0, 0] == pytest.approx(math.log1p(40_000), abs=1e-2)
