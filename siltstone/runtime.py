@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Collection
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Applications whose executors have this package.
 _SHIPPED: set[str] = set()
-#: Tables that ``materialize`` wrote and ``release_tables`` has not removed.
-_WRITTEN: list[str] = []
+#: Tables that ``materialize`` wrote and nothing has removed: file system and path by name.
+_WRITTEN: dict[str, tuple] = {}
+#: Bytes that a row of a broadcast hash table takes beside its values.
+ROW_BYTES = 48
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,21 +51,50 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release_tables(spark: SparkSession) -> None:
-    """Remove the tables that this process materialised. Results that were built on them must have been written before."""
-    sc = spark.sparkContext
-    while _WRITTEN:
-        path = sc._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame, bound: int) -> DataFrame:
-    """``df`` marked for broadcasting if it has at most ``bound`` rows; else as it is, to be joined by shuffling."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    out = spark.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN[path] = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop
+    out._siltstone_table = path
+    return out
+
+
+def materialize_alone(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """``materialize`` of what ``make`` returns; the tables that were written on the way are removed."""
+    before = set(_WRITTEN)
+    out = materialize(make(), label)
+    release_tables(keep=before | {out._siltstone_table})
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove the table that ``materialize`` returned, as soon as nothing reads it any more."""
+    system, path = _WRITTEN.pop(df._siltstone_table, (None, None))
+    if system:
+        system.delete(path, True)
+
+
+def release_tables(keep: Collection[str] = ()) -> None:
+    """Remove the tables that this process materialised, but for those to keep. Results that were built on them must have been
+    written before."""
+    for name in [n for n in _WRITTEN if n not in keep]:
+        system, path = _WRITTEN.pop(name)
+        system.delete(path, True)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    try:
+        release_tables()
+    except Exception:  # noqa: BLE001  the JVM may have ended first; a cluster's shared folder is then cleared by its owner
+        _WRITTEN.clear()
+
+
+def small(df: DataFrame, bound: int = 64 << 20) -> DataFrame:
+    """``df``, whose columns must be numbers, marked for broadcasting if its rows take at most ``bound`` bytes in a hash table; else
+    as it is, to be joined by shuffling."""
+    width = ROW_BYTES + 8 * len(df.schema)
+    most = bound // width
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def ship(spark: SparkSession) -> None:
