@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What is never indexed.
-DEFAULT_PATTERNS = ("node_modules", ".git", "dist", "build", ".next", ".nuxt", "coverage", ".cache", ".indexer-cli", ".DS_Store", "*.pyc", "__pycache__", ".venv", "venv", ".env", ".idea", ".vscode", "*.min.js", "*.min.css", "*.map", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")
+DEFAULT_PATTERNS = ("node_modules", ".git", "dist", "build", ".next", ".nuxt", "coverage", ".cache", ".siltstone", ".DS_Store", "*.pyc", "__pycache__", ".venv", "venv", ".env", ".idea", ".vscode", "*.min.js", "*.min.css", "*.map", "package-lock.json", "yarn.lock", "pnpm-lock.yaml")
 
 
 def read_patterns(ignore_text: str | None) -> list[str]:
