@@ -7,6 +7,7 @@ the hit words' places in the normalised word list are mapped back to code point
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from itertools import repeat
 
 import ahocorasick
@@ -15,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import scan, tokens
+from siltstone.llm import names, scan, tokens
+from siltstone.runtime import materialize, release, ship
 
 WINDOW = 10
 #: Bytes of item text that one automaton may be made from (about 100 MB of memory). More items take several scans.
@@ -25,8 +27,8 @@ AUTOMATON_BYTES = 1 << 20
 _NORMAL = bytes(int(tokens.FOLD[b]) if tokens.ALNUM[b] else 0x20 for b in range(256))
 
 FIELDS = "n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:int,end:int>>"
-#: What one scan hands to the next where there are several automata: hit words as ranges of word numbers.
-PARTIAL = "items array<string>, _ranges array<struct<first:int,end:int>>"
+#: Words of an item that are kept together.
+SEGMENT_WORDS = 20_000
 
 
 def normal_words(text: bytes) -> list[bytes]:
@@ -94,6 +96,23 @@ def _spans(text: bytes, ranges: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": int(points[starts[a]]), "end": int(points[ends[b - 1]])} for a, b in ranges]
 
 
+def _segments(window: int):
+    """Rows (id, text): the item's normalised words in segments, each overlapping the next one by a window less one word, so that
+    every window lies in one segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), scan.as_bytes(batch.column(1)), strict=True):
+                words = normal_words(text)
+                for start in range(0, max(1, len(words) - window + 1) if words else 0, SEGMENT_WORDS):
+                    ids.append(item)
+                    texts.append(b" ".join(words[start : start + SEGMENT_WORDS + window - 1]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["id", "text"])
+
+    return run
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_bytes: int = AUTOMATON_BYTES, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit (words inside a window's occurrence), items (sorted ids with an occurring window) and
     spans (code point ranges of the hit words in the original text).
@@ -101,20 +120,31 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     A window is ``window`` consecutive words of an item; an item of fewer, but not none, is one window. Null and empty texts
     have no words; items without words have no window and null item ids count as the id "null". Repeated items and rows
     are fine: an item id counts once, every row gets its result. Empty tables give no rows, or no hits. Columns called like
-    the added ones are replaced.
+    the added ones are replaced; others pass through, whatever their names.
 
-    The items of one automaton, ``automaton_bytes`` at most, are sent to the executors; more items are split by their hash, and
-    the texts are scanned once for each part, in one pass over the rows.
+    One automaton is made of all items, of ``automaton_bytes`` of text at most, and sent to the executors. Items beyond that are
+    dealt over several by hash, and the texts are scanned once for each, one after the other, what was found so far being
+    written beside them; driver and executors hold one automaton at a time.
     """
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("id"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
+    ship(docs.sparkSession)
+    items = benchmark.select(F.coalesce(names.col(item_id).cast("string"), F.lit("null")).alias("id"), names.col(item_text).cast("string").alias("text"))
+    items = items.mapInArrow(_segments(window), "id string, text string")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(size / automaton_bytes))
-    out, drop = docs.drop("n_words", "n_hit", "items", "spans", "_ranges"), () if keep_text else (text_col,)
+    if parts > 1:
+        items = materialize(items, "benchmark-segments")
+    out = names.without(docs, "n_words", "n_hit", "items", "spans")
+    so_far = names.fresh(out.columns, "found_items", "found_ranges")
+    partial = f"{so_far[0]} array<string>, {so_far[1]} array<struct<first:int,end:int>>"
     for k in range(parts):
         part = Windows([tuple(r) for r in items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == k).collect()], window)
-        last, before = k == parts - 1, ["items", "_ranges"] if k else []
-        out = scan.add_columns(out, [text_col, *before], _maker(part, last), FIELDS if last else PARTIAL, drop=(*drop, "_ranges") if last else ())
-    return out
+        before = so_far if k else []
+        if k == parts - 1:
+            return scan.add_columns(out, [text_col, *before], _maker(part, True), FIELDS, drop=(*before, *(() if keep_text else (text_col,))))
+        scanned = materialize(scan.add_columns(out, [text_col, *before], _maker(part, False), partial), "decontaminate-part")
+        if k:
+            release(out)
+        out = scanned
 
 
 def _maker(windows: Windows, last: bool):

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.llm import names
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Salted parts of each size class of a source.
 SALTS = 16
@@ -54,29 +56,31 @@ def plan_mix(sized: DataFrame, *, id_col: str = "doc_id", source: str = "source"
 
     Null sources are a source of their own, null sizes count as 0. Repeated rows and ties in the id are separate rows, in the
     order of size, id and id hash. Sizes of 0 may be taken, at no words. A source without words has target 0 and is not
-    taken. An empty table gives an empty result. Other columns pass through; the added names replace columns so called.
+    taken. An empty table gives an empty result. Other columns, whatever their names, pass through; the added names replace
+    columns so called.
     """
-    given = sized.drop("source_size", "target", "copies")
-    rows = given.withColumn("_size", F.coalesce(F.col(size), F.lit(0)).cast("long"))
-    rows = rows.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")))
-    rows = rows.withColumn("_class", F.floor(F.sqrt("_size")).cast("int"))
-    rows = rows.withColumn("_salt", (_md5_number(F.lit(f"{seed}:"), F.col(id_col)) % salts).cast("int"))
-    cell = ["_source", "_class", "_salt"]
-    targets = source_targets(rows.withColumn("_given", F.col(source)), source="_given", size="_size", weights=weights, max_repeat=max_repeat)
-    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_source"), "source_size", "target")
-    before = Window.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    cells = cells.join(targets, "_source")
-    placed = rows.withColumn("_at", F.row_number().over(Window.partitionBy(*cell).orderBy("_size", id_col)))
-    placed = placed.join(cells, cell)
+    given = names.without(sized, "source_size", "target", "copies")
+    own = F.coalesce(F.concat(F.lit("s"), names.col(source)), F.lit("")).alias("own")
+    words = F.coalesce(names.col(size), F.lit(0)).cast("long").alias("words")
+    salt = (_md5_number(F.lit(f"{seed}:"), names.col(id_col)) % salts).cast("int").alias("salt")
+    rows = given.select(own, words, names.col(id_col).alias("id"), names.col(source).alias("source"), salt, F.struct(*names.cols(given.columns)).alias("row"))
+    rows = rows.withColumn("class", F.floor(F.sqrt("words")).cast("int"))
+    cell = ["own", "class", "salt"]
+    targets = source_targets(rows, size="words", weights=weights, max_repeat=max_repeat)
+    targets = targets.select(F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("own"), "source_size", "target")
+    earlier = Window.partitionBy("own").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    cells = cells.join(targets, "own")
+    placed = rows.withColumn("at", F.row_number().over(Window.partitionBy(*cell).orderBy("words", "id"))).join(cells, cell)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = _md5_number(F.lit(f"{seed}:"), F.col("_source")) / F.lit(float(1 << 32))
-    end = F.col("_before") + F.col("_at")
+    offset = _md5_number(F.lit(f"{seed}:"), F.col("own")) / F.lit(float(1 << 32))
+    end = F.col("before") + F.col("at")
     copies = F.floor(end * rate + offset) - F.floor((end - 1) * rate + offset)
-    placed = placed.withColumn("copies", F.least(copies, F.lit(max_repeat)).cast("int"))
-    return placed.select(*given.columns, "source_size", "target", "copies")
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in given.columns], "source_size", "target", F.least(copies, F.lit(max_repeat)).cast("int").alias("copies"))
 
 
 def emit_mix(planned: DataFrame) -> DataFrame:
     """Each row of ``plan_mix`` as often as its copies say, without the plan's columns."""
-    return planned.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "source_size", "target", "copies")
+    kept = names.without(planned, "source_size", "target", "copies").columns
+    taken = planned.where("copies > 0").select(F.struct(*names.cols(kept)).alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select(*[F.col("row").getField(c).alias(c) for c in kept])

@@ -42,7 +42,7 @@ best AS (
   FROM h JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 other AS (
   SELECT page_id, pattern, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, pattern) AS place
-  FROM h JOIN patterns ON regexp_matches(host || path, expression))
+  FROM h JOIN patterns ON regexp_matches({_FOLD.format("host || path")}, expression))
 SELECT h.page_id, host, path, best.rule, coalesce(best.verdict, other.verdict, 'allow') AS verdict, CASE WHEN best.rule IS NULL THEN other.pattern END AS pattern
 FROM h LEFT JOIN best ON best.page_id = h.page_id AND best.place = 1 LEFT JOIN other ON other.page_id = h.page_id AND other.place = 1
 """

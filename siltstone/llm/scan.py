@@ -5,34 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.llm.names import col, cols
 from siltstone.runtime import ship
 
 #: Rows of a batch that are worked on at once.
 ROWS = 1024
 
 
-def add_columns(docs: DataFrame, inputs: list[str], make: Callable[..., list[pa.Array]], fields: str, *, drop: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
-    """``docs`` with the columns ``fields`` (a DDL string) that ``make`` computes from slices of the columns ``inputs``.
+def add_columns(docs: DataFrame, inputs: list[str | Column], make: Callable[..., list[pa.Array]], fields: str, *, drop: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
+    """``docs`` with the columns ``fields`` (a DDL string) that ``make`` computes from slices of the columns ``inputs``, which are
+    names or expressions.
 
-    Columns of ``docs`` with the names of ``fields`` are replaced. Those named in ``drop`` don't come back from Python.
+    Columns of ``docs`` with the names of ``fields``, in any letter case, are replaced. Those named in ``drop`` don't come
+    back from Python.
     """
     ship(docs.sparkSession)
     added = T.StructType.fromDDL(fields)
-    kept = [f for f in docs.schema.fields if f.name not in added.names and f.name not in drop]
-    source = docs.select(*[docs[f.name] for f in kept], *[docs[c].alias(f"_input{i}") for i, c in enumerate(inputs)])
-    schema = T.StructType([*kept, *added.fields])
-    names, n = schema.names, len(kept)
+    gone = {n.lower() for n in (*added.names, *drop)}
+    kept = [f for f in docs.schema.fields if f.name.lower() not in gone]
+    n = len(kept)
+    # Python sees plain names; the caller's, which may need quoting, come back at the end.
+    given = [*cols(f.name for f in kept), *[col(c) if isinstance(c, str) else c for c in inputs]]
+    source = docs.select(*[c.alias(f"c{i}") for i, c in enumerate(given)])
+    made = [T.StructField(f"m{i}", f.dataType, f.nullable) for i, f in enumerate(added.fields)]
+    schema = T.StructType([*[T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)], *made])
+    plain = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, rows):
                 part = batch.slice(start, rows)
-                yield pa.RecordBatch.from_arrays([*part.columns[:n], *make(*part.columns[n:])], names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *make(*part.columns[n:])], plain)
 
-    return source.mapInArrow(run, schema)
+    out = source.mapInArrow(run, schema)
+    return out.select(*[F.col(name).alias(f.name) for name, f in zip(plain, [*kept, *added.fields], strict=True)])
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

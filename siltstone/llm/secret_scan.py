@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import scan, tokens
+from siltstone.llm import names, scan, tokens
 from siltstone.runtime import materialize
 
 # The base patterns of the query's contract and their least lengths.
@@ -96,9 +96,14 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", repository_col: str
     one unnamed one each. Repeated rows each get their result and count once for ownership. Columns called
     secret_findings or secret_candidates are replaced; an empty table gives an empty result.
     """
-    found = scan.add_columns(docs.drop("secret_findings"), [text_col], lambda c: [find_candidates(c)], FIELDS, drop=(text_col,))
-    found = materialize(found, "secret-candidates").withColumn("_row", F.monotonically_increasing_id())
-    each = found.where(F.size("secret_candidates") > 0).select("_row", F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"), F.explode("secret_candidates").alias("c"))
+    gone = names.without(docs, "secret_findings", "secret_candidates")
+    found = scan.add_columns(gone, [text_col], lambda c: [find_candidates(c)], FIELDS, drop=(text_col,))
+    found = materialize(found, "secret-candidates")
+    (key,) = names.fresh(found.columns, "secret_row")
+    found = found.withColumn(key, F.monotonically_increasing_id())
+    # The owner or repository column may be the text column, or one that is replaced; then it is read as unnamed.
+    named = lambda c: names.col(c).cast("string") if c.lower() in {x.lower() for x in found.columns} else F.lit(None).cast("string")
+    each = found.where(F.size("secret_candidates") > 0).select(names.col(key).alias("key"), named(owner_col).alias("owner"), named(repository_col).alias("repository"), F.explode("secret_candidates").alias("c"))
     value = F.col("c.value").alias("value")
     # Two steps each: a value's owners are made distinct before the shuffle, then counted.
     owners = each.select(value, F.coalesce("owner", F.lit("")).alias("owner")).distinct().groupBy("value").agg(F.count(F.lit(1)).alias("owners"))
@@ -108,8 +113,8 @@ def scan_secrets(docs: DataFrame, *, text_col: str = "text", repository_col: str
     judged = known.withColumn("live", live).where("live or c.kind < 3")
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("c.kind") + 1)
     item = F.struct(F.col("c.start").alias("start"), F.col("c.kind").alias("_kind"), F.col("c.end").alias("end"), kind.alias("kind"), "owners", "repositories", F.when(F.col("live"), "live").otherwise("example").alias("verdict"))
-    listed = judged.groupBy("_row").agg(F.sort_array(F.collect_list(item)).alias("secret_findings"))
-    out = found.drop("secret_candidates").join(listed, "_row", "left").drop("_row")
+    listed = judged.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_list(item)).alias("secret_findings"))
+    out = found.drop("secret_candidates").join(listed, key, "left").drop(key)
     return out.withColumn("secret_findings", F.coalesce("secret_findings", F.array().cast(listed.schema["secret_findings"].dataType)))
 
 
