@@ -6,18 +6,21 @@ sketch of the whole, and two sketches estimate resemblance, containment and dist
 
 from __future__ import annotations
 
-import bisect
 import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from siltstone.llm import names
+from siltstone.runtime import materialize, release
 
 WORDS, K = 5, 256
 #: Hashes have 60 bits: 15 hexadecimal digits in a fingerprint.
 BITS = 60
-#: Bytes of text that one range of document ids should hold in ``with_next``.
-RANGE_BYTES = 16 << 20
+#: Bytes of text that one range of documents holds at most in ``with_next``, about; small tables have so many ranges a core.
+RANGE_BYTES, RANGES_A_CORE = 64 << 20, 4
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -81,48 +84,42 @@ def with_next(docs: DataFrame, derive: Callable[[Column, Column], dict[str, Colu
     """``docs`` (id and text) in ascending order of ids, each beside the next document, after the last the first.
 
     ``derive(text, next_text)`` gives columns of the two texts; ``carry`` names functions of one text whose value for the next
-    document is added as ``next_<name>``. Null texts are empty. Ids may be null (first) and repeated (then by text hash); equal
-    rows follow each other. One document alone is its own next.
+    document is added as ``next_<name>``. Null texts are empty. Ids are integers, strings or dates; they may be null (first) and
+    repeated (then by text hash); equal rows follow each other and stay in one range. One document alone is its own next.
 
-    Ids are cut into ranges at their quantiles. A range is sorted in one task; its last document finds its next among
-    the first documents of all ranges, a table of one row a range.
+    The order is cut into ranges. Where they begin is found by a range partitioning of ids and text hashes alone; these
+    beginnings (a few tens of bytes a range) are all that reaches the driver. Texts then move once, to the task of their
+    range. A range's first text also goes to the range before, behind its last document, so that no join is needed.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col))
-    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text_col))).first()
-    ranges = max(1, math.ceil((size or 0) / range_bytes))
-    cuts: list[int] = []
-    if ranges > 1:
-        found = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 20 * ranges))).first()[0]
-        cuts = sorted(set(found or []))
-    keyed = docs.withColumn("_range", _range_of(F.col(id_col), cuts)).withColumn("_tie", F.xxhash64(text_col))
-    heads = keyed.groupBy("_range").agg(F.min(F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id"), F.col("_tie").alias("tie"))).alias("head")).orderBy("_range").collect()
-    after = [(r["_range"], *heads[(i + 1) % len(heads)]["head"][1:]) for i, r in enumerate(heads)]
-    links = spark.createDataFrame(after, f"_range int, head_id {docs.schema[id_col].dataType.simpleString()}, head_tie long")
-    texts = keyed.select(F.col(id_col).alias("head_id"), F.col("_tie").alias("head_tie"), F.col(text_col).alias("_head"))
-    same = lambda x, y: (x["head_id"].eqNullSafe(y["head_id"])) & (x["head_tie"] == y["head_tie"])
-    firsts = texts.join(F.broadcast(links), same(texts, links)).select(links["_range"], "_head").dropDuplicates(["_range"])
-    order = Window.partitionBy("_range").orderBy(F.col(id_col).asc_nulls_first(), "_tie")
-    joined = keyed.join(F.broadcast(firsts) if len(heads) <= 256 else firsts, "_range")
-    text, nxt = F.col(text_col), F.col("_next")
-    out = joined.withColumn("_next", F.lead(text_col).over(order)).withColumn("_last", F.col("_next").isNull()).withColumn("_next", F.coalesce("_next", "_head"))
-    out = out.select(id_col, text_col, "_range", "_tie", "_last", "_head", *[v.alias(n) for n, v in derive(text, nxt).items()], *[f(text).alias(n) for n, f in carry.items()])
-    for name, f in carry.items():
-        out = out.withColumn(f"next_{name}", F.lead(name).over(order))
-    ends = {name: F.when(F.col("_last"), f(F.col("_head"))).otherwise(F.col(f"next_{name}")) for name, f in carry.items()}
-    return out.withColumns({f"next_{name}": end for name, end in ends.items()}).drop("_range", "_tie", "_last", "_head")
-
-
-def _range_of(key: Column, cuts: list[int]) -> Column:
-    """How many cuts are at or below the key (0 for null), by two short scans instead of one over all cuts."""
-    if not cuts:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(cuts)))
-    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    passed = F.size(F.filter(F.lit([b[-1] for b in blocks]), lambda c: c <= key))
-    inner = F.array(*[F.lit(b) for b in blocks], F.lit([cuts[-1] + 1]))
-    within = let(passed, lambda p: p * step + F.size(F.filter(inner[p], lambda c: c <= key)))
-    return F.when(key.isNull(), 0).otherwise(F.least(within, F.lit(len(cuts)))).cast("int")
+    rows = docs.select(names.col(id_col).alias("id"), F.coalesce(names.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    keys = materialize(rows.select("id", "tie", F.octet_length("text").alias("size")), "fingerprint-keys")
+    count, size = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
+    ranges = max(1, min(count, max(math.ceil((size or 0) / range_bytes), RANGES_A_CORE * docs.sparkSession.sparkContext.defaultParallelism)))
+    cut = keys.repartitionByRange(ranges, F.asc_nulls_first("id"), F.asc("tie"))
+    heads = cut.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("id", "tie")).alias("head"))
+    found, listed = heads.agg(F.count(F.lit(1)), F.to_json(F.sort_array(F.collect_list("head")))).first()
+    release(keys)
+    ranges = max(1, found)
+    beginnings = F.from_json(F.lit(listed), ArrayType(heads.schema["head"].dataType))
+    key = F.struct("id", "tie")
+    at = _place(key, beginnings, ranges) - 1
+    to = lambda r, copy: F.struct(r.cast("int").alias("range"), F.lit(copy).alias("copy"))
+    own = lambda r: F.when(F.get(beginnings, r).eqNullSafe(key), F.array(to(r, False), to((r + ranges - 1) % ranges, True))).otherwise(F.array(to(r, False)))
+    dealt = rows.select("id", "text", "tie", F.explode(let(at, own)).alias("to")).select("id", "text", "tie", "to.range", "to.copy")
+    dealt = dealt.repartitionById(ranges, F.col("range"))
+    dealt = dealt.withColumns({f"own_{name}": f(F.col("text")) for name, f in carry.items()})
+    order = Window.partitionBy("range").orderBy("copy", F.asc_nulls_first("id"), "tie")
+    paired = dealt.withColumns({"next": F.lead("text").over(order)} | {f"next_{name}": F.lead(f"own_{name}").over(order) for name in carry})
+    derived = derive(F.col("text"), F.col("next"))
+    named = [F.col("id").alias(id_col), F.col("text").alias(text_col), *[v.alias(n) for n, v in derived.items()], *[F.col(f"own_{n}").alias(n) for n in carry], *[F.col(f"next_{n}") for n in carry]]
+    return paired.where(~F.col("copy")).select(*named)
+
+
+def _place(key: Column, sorted_keys: Column, n: int) -> Column:
+    """How many of the ``n`` sorted keys are at or below the key, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(sorted_keys, at + step - 1) <= key), at + step).otherwise(at))
 
 
 def edited(text: Column, nxt: Column) -> Column:
