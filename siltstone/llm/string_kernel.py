@@ -6,11 +6,16 @@ both strings. Inserted characters and gaps lower it gently; the normalised kerne
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import combinations
+
 import numpy as np
 
 ORDER, DECAY = 3, 0.7
 #: Longest string taken whole; longer ones are cut into overlapping windows by ``windows``.
 LONGEST = 20
+#: Subsequences that are looked up at once.
+CELLS = 200_000
 
 
 def windows(word: bytes) -> list[bytes]:
@@ -49,55 +54,62 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     return total
 
 
-def common_length(columns: np.ndarray, mask_of: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each word with one string, by bit operations. ``columns``: the words'
-    characters, one row for each place, as indices; ``mask_of``: for each byte the set of its places in that string."""
-    v = np.full(columns.shape[1], 0xFFFFFFFF, np.uint32)
-    for column in columns:
-        u = np.take(mask_of, column, mode="clip")
-        u &= v
-        w = v - u
-        v += u
-        v |= w
-    x = ~v
-    x -= (x >> 1) & np.uint32(0x55555555)
-    x = (x & np.uint32(0x33333333)) + ((x >> 2) & np.uint32(0x33333333))
-    x = (x + (x >> 4)) & np.uint32(0x0F0F0F0F)
-    return (x * np.uint32(0x01010101)) >> 24
+@lru_cache(LONGEST + 1)
+def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All places i < j < k below n, and decay to the power of the stretch from i to k."""
+    at = np.array(list(combinations(range(n), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, (DECAY ** (at[:, -1] - at[:, 0] + 1.0)).astype(np.float32)
 
 
 class Landmarks:
-    """Normalised kernel values of words with fixed strings. A pair whose longest common subsequence is shorter than ``share``
-    of the landmark counts as 0, so that the full kernel is taken of few pairs only. With ``share`` 0 the values are exact: pairs
-    that have fewer than ``ORDER`` characters in common, whose kernel is 0, are all that is left out."""
+    """Normalised kernel values of words with fixed strings, exactly.
+
+    A kernel is the product of two feature rows, which have a feature for each subsequence of ``ORDER`` characters. The
+    landmarks' features are a table; a word's own are looked up there, so the work grows with the features that
+    it shares with some landmark.
+    """
 
-    def __init__(self, words: list[bytes], share: float = 0.7):
+    def __init__(self, words: list[bytes]):
         self.words = words
-        self.rows, self.lengths = padded(words)
-        self.least = np.maximum(ORDER, np.ceil(share * self.lengths)).astype(np.int64)
-        self.masks = np.zeros((len(words), 256), np.uint32)
-        for i, w in enumerate(words):
-            for b, c in enumerate(w):
-                self.masks[i, c] |= np.uint32(1 << b)
-        self.own = kernel(self.rows, self.rows) if words else np.zeros(0, np.float32)
+        self.letters = np.zeros(256, np.int64)  # 0: in no landmark
+        known = sorted(set(b"".join(words)))
+        self.letters[known] = np.arange(1, len(known) + 1)
+        self.base = len(known) + 1
+        values: dict[int, np.ndarray] = {}
+        for j, word in enumerate(words):
+            at, weight = _triples(len(word))
+            for code, w in zip(self._codes(np.frombuffer(word, np.uint8)[None], at)[0].tolist(), weight, strict=True):
+                values.setdefault(code, np.zeros(len(words), np.float32))[j] += w
+        self.place = np.full(self.base**ORDER, -1, np.int32)
+        self.place[list(values)] = np.arange(len(values))
+        self.features = np.array(list(values.values()), np.float32).reshape(-1, len(words))
+        self.own = (self.features**2).sum(axis=0)
+
+    def _codes(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        letters = self.letters[rows]
+        codes = letters[:, at[:, 0]]
+        for k in range(1, ORDER):
+            codes = codes * self.base + letters[:, at[:, k]]
+        return codes
 
     def similar(self, words: list[bytes]) -> np.ndarray:
-        """words x landmarks, in [0, 1]."""
+        """words x landmarks, in [0, 1]; words of fewer than ``ORDER`` characters are like none."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         if not words or not self.words:
             return out
         rows, lengths = padded(words)
-        columns = rows[:, : int(lengths.max())].T.astype(np.intp)
-        pairs = []
-        for j in range(len(self.words)):
-            near = np.flatnonzero(common_length(columns, self.masks[j]) >= self.least[j])
-            pairs.append(np.stack([near, np.full(len(near), j)]))
-        at, with_ = np.concatenate(pairs, axis=1)
-        if len(at):
-            used, back = np.unique(at, return_inverse=True)
-            own = kernel(rows[used], rows[used])
-            for start in range(0, len(at), 20_000):
-                part = slice(start, start + 20_000)
-                value = kernel(rows[at[part]], self.rows[with_[part]])
-                out[at[part], with_[part]] = value / np.sqrt(np.maximum(own[back[part]] * self.own[with_[part]], 1e-12))
+        for n in np.unique(lengths[lengths >= ORDER]).tolist():
+            at, weight = _triples(n)
+            members = np.flatnonzero(lengths == n)
+            step = max(1, CELLS // len(at))
+            for start in range(0, len(members), step):
+                part = members[start : start + step]
+                found = self.place[self._codes(rows[part, :n], at)]
+                row, which = np.nonzero(found >= 0)
+                if not len(row):
+                    continue
+                met, edge = np.unique(row, return_index=True)
+                shared = np.add.reduceat(self.features[found[row, which]] * weight[which, None], edge, axis=0)
+                mine = rows[part[met], :n]
+                out[part[met]] = shared / np.sqrt(np.maximum(kernel(mine, mine)[:, None] * self.own, 1e-12))
         return np.minimum(out, 1.0)

@@ -17,16 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm import labelled, scan, tokens
-from siltstone.llm.string_kernel import Landmarks, windows
-from siltstone.runtime import ship
+from siltstone.llm import labelled, names, scan, tokens
+from siltstone.llm.string_kernel import ORDER, Landmarks, windows
+from siltstone.runtime import materialize, release, ship
 
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.5
 #: Training rows of each class at most.
 PER_CLASS = 3000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 64, 24
-#: Words that are looked at as landmarks at most, by likelihood ratio; least ratio (what a word of four toxic texts
-#: among ten times as many clean ones has).
+#: Landmarks are sought among so many words of the bounded sample, those with the largest difference of rates, and four times
+#: as many usual clean ones; least likelihood ratio (what a word of four toxic texts among ten times as many clean ones has).
 CANDIDATES, LEAST_RATIO = 1500, 14.0
 #: So many times as often as in clean texts a landmark of the toxic kind must be in toxic ones.
 TOXIC_TIMES = 5
@@ -86,7 +86,7 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 low, high = at[row - first], at[row - first + 1]
                 for i in np.unique(hashes[low:high], return_index=True)[1] + low:
                     for w in windows(data[starts[i] : ends[i]]):
-                        if len(w) > 2:
+                        if len(w) >= ORDER:  # the kernel of shorter ones is 0
                             seen.setdefault(w, [0, 0])[label[row]] += 1
             if len(seen) > 500_000:
                 yield out()
@@ -107,11 +107,16 @@ class Machine:
 
     def score(self, column: pa.Array) -> np.ndarray:
         if self._reader is None:
-            self._reader = Reader(Landmarks(self.words, share=0.0))
+            self._reader = Reader(Landmarks(self.words))
         margin = self._reader.texts(column) @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
+def _steps(likes: np.ndarray) -> np.ndarray:
+    """Kernels of words to the power that is summed, in whole steps."""
+    return np.rint(likes**POWER / np.float32(STEP))
+
+
 class Reader:
     """Kernel values of texts with landmarks; values of words seen before are remembered, in bounded memory."""
 
@@ -135,7 +140,7 @@ class Reader:
                 return self._places(hashes, spans) if len(hashes) <= REMEMBERED else self._fresh(spans)
             parts = [windows(spans[i]) for i in new]
             flat = self.landmarks.similar([w for p in parts for w in p])
-            likes = np.maximum.reduceat(flat, np.cumsum([0, *[len(p) for p in parts[:-1]]]), axis=0) if len(flat) else flat
+            likes = _steps(np.maximum.reduceat(flat, np.cumsum([0, *[len(p) for p in parts[:-1]]]), axis=0))
             some = likes.any(axis=1)
             place = np.zeros(len(new), np.int32)
             place[some] = len(self.values) + np.arange(int(some.sum()), dtype=np.int32)
@@ -149,7 +154,7 @@ class Reader:
         self.values = np.zeros((1, len(self.landmarks.words)), np.float32)
         out = np.zeros(len(spans), np.int32)
         for i, word in enumerate(spans):
-            likes = self.landmarks.similar(windows(word)).max(axis=0)
+            likes = _steps(self.landmarks.similar(windows(word)).max(axis=0))
             if likes.any():
                 out[i] = len(self.values)
                 self.values = np.concatenate([self.values, likes[None]])
@@ -165,14 +170,14 @@ class Reader:
             hot = np.flatnonzero(place)
             rows = np.searchsorted(at, hot, "right") - 1 + first
             for start in range(0, len(hot), AT_ONCE):
-                steps = np.rint(self.values[place[hot[start : start + AT_ONCE]]] ** POWER / np.float32(STEP))
                 row, edge = np.unique(rows[start : start + AT_ONCE], return_index=True)
-                total[row] += np.add.reduceat(steps, edge, axis=0, dtype=np.float64)
+                total[row] += np.add.reduceat(self.values[place[hot[start : start + AT_ONCE]]], edge, axis=0, dtype=np.float64)
         return np.log1p(total * STEP).astype(np.float32)
 
 
 def choose_landmarks(counts: list[tuple[bytes, int, int]], clean_texts: int, toxic_texts: int, *, toxic: int = TOXIC_LANDMARKS, clean: int = CLEAN_LANDMARKS) -> list[bytes]:
-    """From (word, clean texts, toxic texts): toxic words by likelihood ratio, each unlike those before, and clean words like them."""
+    """From (word, clean texts, toxic texts): ``toxic`` toxic words by likelihood ratio, each unlike those before, and ``clean`` clean
+    words like them."""
     bad, good = [], []
     for word, c, t in counts:
         rate = (c + t) / max(1, clean_texts + toxic_texts)
@@ -189,18 +194,18 @@ def choose_landmarks(counts: list[tuple[bytes, int, int]], clean_texts: int, tox
     for _, word in bad:
         if len(chosen) == toxic:
             break
-        if not chosen or Landmarks(chosen, share=0.0).similar([word]).max() < ALIKE:
+        if not chosen or Landmarks(chosen).similar([word]).max() < ALIKE:
             chosen.append(word)
     if not chosen:
         return []
-    pool = [w for _, w in good[:4000]]
-    likeness = Landmarks(chosen, share=0.0).similar(pool).max(axis=1) if pool else np.zeros(0)
+    pool = [w for _, w in good]
+    likeness = Landmarks(chosen).similar(pool).max(axis=1) if pool else np.zeros(0)
     return chosen + [pool[i] for i in np.argsort(-likeness, kind="stable")[:clean] if likeness[i] > 0]
 
 
 def fit(values: np.ndarray, labels: np.ndarray, landmarks: list[bytes], prior: float, *, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Machine:
     """The machine from texts' kernel values with the landmarks."""
-    own = Landmarks(landmarks, share=0.0).similar(landmarks).astype(np.float64)
+    own = Landmarks(landmarks).similar(landmarks).astype(np.float64)
     levels, axes = np.linalg.eigh(((own + own.T) / 2) ** POWER + 1e-2 * np.eye(len(own)))
     root = axes @ np.diag(1 / np.sqrt(np.maximum(levels, 1e-2))) @ axes.T
     x = values.astype(np.float64) @ root
@@ -234,9 +239,9 @@ def _logistic(margin: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> tup
     return float(max(theta[0], 0.1)), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> Machine | float:
-    """A machine fitted on a bounded sample of the training folds. With labels of one class only, without labels, or where no
-    word tells the classes apart, the share of class 1 (0.0 without labels) is the score of every text."""
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: int = FOLDS, held_out: int = HELD_OUT, per_class: int = PER_CLASS, candidates: int = CANDIDATES, id_col: str = "doc_id", text_col: str = "text") -> Machine | float:
+    """A machine fitted on a bounded sample of the training folds, in one task of an executor. With labels of one class only, without
+    labels, or where no word tells the classes apart, the share of class 1 (0.0 without labels) is the score of every text."""
     rows, counts = labelled.sample(docs, labels, label, folds=folds, held_out=held_out, per_class=per_class, id_col=id_col, text_col=text_col)
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else 0.0
@@ -244,23 +249,27 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", folds: in
         return prior
     ship(docs.sparkSession)
     words = rows.select("text", "label").mapInArrow(_document_words, "word binary, clean long, toxic long")
-    words = words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    words = materialize(words.groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxicity-words")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    many = words.orderBy(F.desc(F.col("toxic") / sizes.get(1, 1) - F.col("clean") / sizes.get(0, 1)), "word").limit(CANDIDATES)
-    usual = words.orderBy(F.desc("clean"), "word").limit(4 * CANDIDATES)
+    many = words.orderBy(F.desc(F.col("toxic") / sizes.get(1, 1) - F.col("clean") / sizes.get(0, 1)), "word").limit(candidates)
+    usual = words.orderBy(F.desc("clean"), "word").limit(4 * candidates)
     found = {bytes(r["word"]): (r["clean"], r["toxic"]) for r in [*many.collect(), *usual.collect()]}
+    release(words)
     landmarks = choose_landmarks([(w, *n) for w, n in sorted(found.items())], sizes.get(0, 0), sizes.get(1, 0))
     if not landmarks:
         return prior
-    got = scan.add_columns(rows, ["text"], _value_maker(landmarks), "values binary", drop=("text",)).toPandas()
-    got = got.assign(key=got["values"]).sort_values(["key", "label"])
-    values = np.stack([np.frombuffer(b, np.float32) for b in got["values"]])
-    return fit(values, got["label"].to_numpy(), landmarks, prior)
+
+    def learn(table: pa.Table) -> Machine:
+        keys = sorted(zip(table.column("values").to_pylist(), table.column("label").to_pylist(), strict=True))  # the same order in every run
+        return fit(np.stack([np.frombuffer(k, np.float32) for k, _ in keys]), np.array([y for _, y in keys]), landmarks, prior)
+
+    valued = scan.add_columns(rows, ["text"], _value_maker(landmarks), "values binary", drop=("text",))
+    return labelled.fit_in_task(valued, learn, ["values", "label"])
 
 
 def _value_maker(landmarks: list[bytes]):
     def make(column: pa.Array) -> list[pa.Array]:
-        return [pa.array([v.tobytes() for v in Reader(Landmarks(landmarks, share=0.0)).texts(column)], pa.binary())]
+        return [pa.array([v.tobytes() for v in Reader(Landmarks(landmarks)).texts(column)], pa.binary())]
 
     return make
 
@@ -269,10 +278,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     """``docs`` with toxicity_score (0 to 1) added, by a machine trained on the labelled rows outside the held-out fold.
 
     Only the text is scored: labels, language, source and id are not inputs. Null and empty texts are like no landmark and get
-    the score of such. Repeated rows get equal scores. A column called toxicity_score is replaced. Empty tables give an
+    the score of such. Rows with null ids are scored and never learned from. Repeated rows get equal scores. A column called toxicity_score is replaced. Empty tables give an
     empty result.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col, **training)
     if isinstance(model, float):
-        return (docs if keep_text else docs.drop(text_col)).withColumn("toxicity_score", F.lit(model))
+        return names.without(docs, "toxicity_score", *([] if keep_text else [text_col])).withColumn("toxicity_score", F.lit(model))
     return scan.add_columns(docs, [text_col], lambda c: [pa.array(model.score(c).astype(np.float64), pa.float64())], "toxicity_score double", drop=() if keep_text else (text_col,))
