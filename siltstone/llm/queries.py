@@ -10,7 +10,7 @@ from siltstone.runtime import load
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(load(spark, sf_dir, "documents"), words=3, percent=90)
+    return ngram_join.jaccard_components(load(spark, sf_dir, "documents"), words=3, percent=90).drop("text_hash")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "labels")
-    scored = quality.score_quality(docs, labels, keep_text=False)
+    docs, labels = load(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"), load(spark, sf_dir, "labels")
+    scored = quality.score_quality(docs, labels, keep_text=False, metadata=("n_chars",))
     score = F.col("quality_score")
     return scored.select("doc_id", (labelled.fold(F.col("doc_id"), quality.FOLDS) == quality.HELD_OUT).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
