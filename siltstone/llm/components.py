@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.runtime import materialize
+from siltstone.runtime import materialize, release
 
 
 def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
@@ -17,11 +17,14 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     itself, repeated edges and both directions are fine; rows with a null end are dropped. No edges, no rows."""
     pairs = edges.where("a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     pairs = materialize(pairs.distinct(), "edges")
-    nodes, current = pairs.where("u = v"), pairs.where("u <> v")
+    nodes = pairs.where("u = v")
+    first = current = pairs.where("u <> v")
     for _ in range(max_rounds):
         if _settled(current):
             break
-        current = materialize(_small_star(_large_star(current)), "edges")
+        before, current = current, materialize(_small_star(_large_star(current)), "edges")
+        if before is not first:
+            release(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("u"), "v").distinct()

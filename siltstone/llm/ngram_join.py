@@ -6,17 +6,20 @@
    class with fewer shared ones among them drops out. Of a class's shared ones, rarest first, so many come before that
    number that one of them must be common too: these are its signs. Classes with a common sign are chained to the least
    of them, and the chains' components are the clusters; two linked classes are always in one cluster.
-3. Each cluster is cut into chunks of bounded size, and each pair of chunks is a block. Inside a block the sets, in one order
-   of all its n-grams (most frequent first), are a prefix tree. All queries of the block walk down it together: what they
+3. Each cluster is cut into bands of set sizes such that linked sets are in one band or in neighbouring ones, and the bands into
+   chunks of bounded size. Each pair of chunks that can hold a link is a block. Inside a block the sets, in one order of
+   all its n-grams (most frequent first), are a prefix tree. All queries of the block walk down it together: what they
    overlap with a shared path is counted once, and a subtree is left by each query for which the overlap so far plus the
    shorter of the two remaining lengths cannot reach the threshold.
 4. The links' components, found from a spanning forest of each block, are the result.
 
-No pair of documents is ever a row. Whole sets are only made of documents in clusters.
+No pair of documents is ever a row. Whole sets are only made of documents in clusters. An n-gram or sign that very many
+documents have doesn't meet in one task: what a task sees often it settles itself, and passes on in one row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,16 +29,21 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import tokens
 from siltstone.llm.components import components
-from siltstone.runtime import materialize, ship, small
+from siltstone.llm.names import col
+from siltstone.runtime import materialize, release, ship, small
 
 #: Counts of an n-gram are told apart up to this; those beyond count as equally frequent.
 MOST_COUNTED = 1024
+#: Rows that a task looks at together, and how often an n-gram is among them to count as frequent everywhere.
+FLUSH_ROWS, OFTEN = 200_000, 64
+#: Parts that the rows of a frequent n-gram are dealt over.
+SALTS = 4096
 #: N-grams in a chunk of a cluster. A longer document is a chunk of its own.
-CHUNK_GRAMS = 150_000
+CHUNK_GRAMS = 400_000
 #: Cells of the membership matrix that one slice of queries may have.
 SLICE_CELLS = 8_000_000
-#: Up to so many ids are broadcast to a scan of the texts; more are joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Ids and places of documents are broadcast to a scan of the texts up to so many bytes; more are joined by shuffling.
+BROADCAST_BYTES = 64 << 20
 
 
 def prefix_sizes(n: int, percent: int) -> tuple[int, int]:
@@ -63,7 +71,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def _outline(words: int):
-    """Rows (id, text): the size of the set and 128 bits that stand for it."""
+    """Rows (id, text, hash): the size of the set and 128 bits that stand for it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,18 +81,28 @@ def _outline(words: int):
                 n.append(len(grams))
                 s1.append(mixed.sum(dtype=np.uint64).view(np.int64))
                 s2.append(np.bitwise_xor.reduce(tokens.mix64(mixed ^ np.uint64(77)), initial=np.uint64(0)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], ["id", "n", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in (n, s1, s2))], ["id", "hash", "n", "s1", "s2"])
 
     return run
 
 
 def _prefix(words: int, percent: int):
-    """Rows (id, text): a row (gram, node, least) for each n-gram of the set's prefix."""
+    """Rows (node, text): a row (gram, salt, node, least) for each n-gram of the set's prefix. Its salt is 0, but where the n-gram
+    is frequent among the rows seen with it; then the row is salted, and one row with ``least`` 0 says so to all others."""
+
+    def out(made: list[np.ndarray], owners: list[np.ndarray], least: list[np.ndarray]) -> pa.RecordBatch:
+        gram, node, need = np.concatenate(made).view(np.int64), np.concatenate(owners).astype(np.int64), np.concatenate(least)
+        values, inverse, counts = np.unique(gram, return_inverse=True, return_counts=True)
+        often = counts >= OFTEN
+        salt = np.where(often[inverse], 1 + np.arange(len(gram)) % SALTS, 0).astype(np.int32)
+        told = values[often]
+        nothing = np.zeros(len(told), np.int64)
+        return _rows(["gram", "salt", "node", "least"], np.append(gram, told), np.append(salt, nothing.astype(np.int32)), np.append(node, nothing), np.append(need, nothing).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, owners, least, size = [], [], [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            made, owners, least, size = [], [], [], 0
             for node, grams in zip(ids, gram_sets(batch.column(1), words), strict=True):
                 if len(grams):
                     count, shared = prefix_sizes(len(grams), percent)
@@ -92,11 +110,11 @@ def _prefix(words: int, percent: int):
                     owners.append(np.full(count, node))
                     least.append(np.full(count, shared, np.int32))
                     size += count
-                if size > 200_000:
-                    yield _rows(["gram", "node", "least"], np.concatenate(made).view(np.int64), np.concatenate(owners), np.concatenate(least))
+                if size > FLUSH_ROWS:
+                    yield out(made, owners, least)
                     made, owners, least, size = [], [], [], 0
-            if made:
-                yield _rows(["gram", "node", "least"], np.concatenate(made).view(np.int64), np.concatenate(owners), np.concatenate(least))
+        if made:
+            yield out(made, owners, least)
 
     return run
 
@@ -112,38 +130,46 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, node, least) sorted by gram: those whose gram is in two prefixes or more, with its count, MOST_COUNTED at
-    most. No more rows than that are held for a gram."""
+    """Rows (gram, salt, node, least) sorted by gram: those whose gram is in two prefixes or more, with its count,
+    MOST_COUNTED at most and for all that are frequent somewhere. No more rows than that are held for a gram."""
     held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     frequent = None
 
     def out(columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keep = counts > 1
+        keep = (counts > 1) & (columns[2] > 0)
         if keep.any():
             gram, node, least = (c[keep] for c in columns)
             yield _rows(["node", "least", "count", "gram"], node, least, counts[keep].astype(np.int32), gram)
 
     for batch in batches:
-        columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+        gram, salt, node, least = (c.to_numpy() for c in batch.columns)
+        salted = salt != 0
+        if salted.any():
+            yield from out([c[salted] for c in (gram, node, least)], np.full(int(salted.sum()), MOST_COUNTED))
+            gram, node, least = (c[~salted] for c in (gram, node, least))
+        columns = [np.concatenate([h, c]) for h, c in zip(held, (gram, node, least), strict=True)]
         if not len(columns[0]):
             continue
         starts = _starts(columns[0])
         sizes = np.diff(np.append(starts, len(columns[0])))
-        counts = np.repeat(np.minimum(sizes, MOST_COUNTED), sizes)
+        sums = np.add.reduceat(np.where(columns[2] > 0, 1, MOST_COUNTED), starts)
         if columns[0][0] == frequent:
-            counts[: sizes[0]] = MOST_COUNTED
-        last, gram = int(starts[-1]), columns[0][-1]
-        if gram == frequent or sizes[-1] >= MOST_COUNTED:  # known to be frequent, however many follow
-            frequent, last = gram, len(columns[0])
+            sums[0] = MOST_COUNTED
+        counts = np.repeat(np.minimum(sums, MOST_COUNTED), sizes)
+        last = int(starts[-1])
+        if sums[-1] >= MOST_COUNTED:  # known to be frequent, however many follow
+            frequent, last = columns[0][-1], len(columns[0])
         yield from out([c[:last] for c in columns], counts[:last])
         held = [c[last:] for c in columns]
     yield from out(held, np.full(len(held[0]), len(held[0])))
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, least, count, gram) sorted by node, count, gram: the signs of each node that shares enough."""
+    """Rows (node, least, count, gram) sorted by node, count, gram: rows (key, node, other). Nodes of one sign that are seen together
+    are chained here, and these edges have a key of their own; of each sign one row (sign, node, null) goes on."""
+    made: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def out(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def signs(columns: list[np.ndarray]) -> None:
         node, least, gram = columns
         if not len(node):
             return
@@ -151,8 +177,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = np.diff(np.append(starts, len(node)))
         place = np.arange(len(node)) - np.repeat(starts, sizes)
         keep = place < np.repeat(sizes, sizes) - least + 1
-        if keep.any():
-            yield _rows(["sign", "node"], gram[keep], node[keep])
+        made.append((gram[keep], node[keep]))
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if not made:
+            return
+        sign, node = (np.concatenate(c) for c in zip(*made, strict=True))
+        order = np.lexsort((node, sign))
+        sign, node = sign[order], node[order]
+        starts = _starts(sign)
+        heads = np.repeat(node[starts], np.diff(np.append(starts, len(node))))
+        apart = heads != node
+        edges = np.unique(np.stack([node[apart], heads[apart]]), axis=1)
+        key, own = np.append(edges[0], sign[starts]), np.append(edges[0], node[starts])
+        other = pa.array(np.append(edges[1], node[starts]), mask=np.arange(len(key)) >= edges.shape[1])
+        made.clear()
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), other], ["key", "node", "other"])
 
     held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
     for batch in batches:
@@ -160,24 +201,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(columns[0]):
             continue
         last = int(_starts(columns[0])[-1])
-        yield from out([c[:last] for c in columns])
+        signs([c[:last] for c in columns])
         held = [c[last:] for c in columns]
-    yield from out(held)
+        if sum(len(g) for g, _ in made) > FLUSH_ROWS:
+            yield from out()
+    signs(held)
+    yield from out()
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sign, node) sorted so: an edge from each node to the first one with the same signature."""
+    """Rows (key, node, other): those with another node are edges already; the others, sorted by key and node, give an edge from
+    each node to the first one with the same sign."""
     sign, head = None, None
     for batch in batches:
+        ready = batch.filter(batch.column(2).is_valid())
+        if ready.num_rows:
+            yield pa.RecordBatch.from_arrays([ready.column(1), ready.column(2)], ["a", "b"])
+        batch = batch.filter(batch.column(2).is_null())
         if not batch.num_rows:
             continue
         signs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(signs), bool)
-        new[1:] = signs[1:] != signs[:-1]
-        heads = nodes[np.maximum.accumulate(np.where(new, np.arange(len(signs)), 0))]
+        starts = _starts(signs)
+        heads = np.repeat(nodes[starts], np.diff(np.append(starts, len(signs))))
         if sign is not None and signs[0] == sign:
-            same = len(signs) if new[1:].sum() == 0 else int(np.flatnonzero(new)[1])
-            heads[:same] = head
+            heads[: int(starts[1]) if len(starts) > 1 else len(signs)] = head
         sign, head = signs[-1], heads[-1]
         apart = heads != nodes
         pairs = np.unique(np.stack([nodes[apart], heads[apart]]), axis=1)
@@ -186,15 +233,18 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deal(words: int):
-    """Rows (id, text, copies, chunk, chunks, root): the set, once for each block of its cluster."""
+    """Rows (node, text, copies, root, band, chunk, own, below, above): the set, once for each block that it is part of. ``own``, ``below``
+    and ``above`` are the numbers of chunks in its band and the neighbouring ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, copies, chunk, chunks, root = (batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))
+            columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5, 6, 7, 8)]
             rows, grams_out = [], []
-            for i, grams in enumerate(gram_sets(batch.column(1), words)):
-                for other in range(chunks[i]):
-                    rows.append((root[i], min(chunk[i], other), max(chunk[i], other), chunk[i], ids[i], copies[i]))
+            for (node, copies, root, band, chunk, own, below, above), grams in zip(zip(*columns, strict=True), gram_sets(batch.column(1), words), strict=True):
+                here = band << 32 | chunk
+                others = [*((band - 1) << 32 | j for j in range(below)), *(band << 32 | j for j in range(own)), *((band + 1) << 32 | j for j in range(above))]
+                for other in others:
+                    rows.append((root, min(here, other), max(here, other), here, node, copies))
                     grams_out.append(grams)
                     if len(rows) == 256:
                         yield _dealt(rows, grams_out)
@@ -206,7 +256,7 @@ def _deal(words: int):
 
 
 def _dealt(rows: list[tuple], grams: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), _lists(grams)], ["root", "one", "two", "chunk", "id", "copies", "grams"])
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), _lists(grams)], ["root", "one", "two", "chunk", "node", "copies", "grams"])
 
 
 class PrefixTree:
@@ -282,8 +332,8 @@ def join_block(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, per
 
 
 def _join_blocks(percent: int):
-    """Rows (root, one, two, chunk, id, copies, grams) sorted by block: (a, b, links) with a's links in the block, and b
-    the least id that a is linked to there."""
+    """Rows (root, one, two, chunk, node, copies, grams) sorted by block: (a, b, links) with a's links in the block, and b
+    the least node that a is linked to there."""
 
     def solve(rows: list[tuple]) -> tuple[list, list, list]:
         one, two = rows[0][1], rows[0][2]
@@ -332,43 +382,67 @@ def _join_blocks(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_grams: int = CHUNK_GRAMS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, component_id, n_links.
+def _with_rows(texts: DataFrame, wanted: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``texts`` (id, hash) joined with the rows wanted of them, by id, which makes a small hash table, then told apart by hash."""
+    wanted = wanted.withColumnsRenamed({"id": "wanted_id", "hash": "wanted_hash"})
+    same = (F.col("id") == F.col("wanted_id")) & (F.col("hash").bitwiseXOR(F.col("wanted_hash")) == 0)
+    return texts.join(small(wanted, broadcast_bytes), same)
+
+
+def _in_chunks(members: DataFrame, percent: int, chunk_grams: int) -> DataFrame:
+    """``members`` (node, n, copies, root, id, hash) with their band and chunk and the numbers of chunks around (see ``_deal``).
+
+    With a band width of a little over the logarithm of 100 / percent, the sizes of linked sets are less than one width apart.
+    """
+    width = math.log(100 / percent) * 1.000001
+    band = F.floor(F.log("n") / width) if width else F.col("n")
+    members = members.withColumn("band", band.cast("long"))
+    whole = members.groupBy("root", "band").agg(F.ceil(F.sum("n") / chunk_grams).cast("int").alias("chunks"))
+    side = lambda shift, name: F.struct((F.col("band") + shift).alias("band"), F.lit(name).alias("side"), "chunks")
+    around = whole.select("root", F.inline(F.array(side(0, "own"), side(1, "below"), side(-1, "above"))))
+    around = around.groupBy("root", "band").agg(*[F.coalesce(F.sum(F.when(F.col("side") == s, F.col("chunks"))), F.lit(0)).cast("int").alias(s) for s in ("own", "below", "above")]).where("own > 0")
+    chunk = F.pmod(F.xxhash64("node"), "own").cast("int").alias("chunk")
+    return members.join(small(around), ["root", "band"]).select("id", "hash", "node", "copies", "root", "band", chunk, "own", "below", "above")
+
+
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, chunk_grams: int = CHUNK_GRAMS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, component_id, n_links, and text_hash, the text's ``xxhash64``.
 
     Words are what spaces and U+0009 to U+000D separate, A-Z lower-cased; a text's set has its distinct ``words``-grams, or
     the whole sequence where there are fewer words. Rows link when the intersection is ``percent`` percent of the union or
     more. component_id is the least id reachable by links; n_links counts the other rows that a row links with directly.
 
     Null texts, empty texts and texts without words have an empty set and link with nothing: component_id is their own id.
-    Rows with a null id link with nothing and have a null component_id. Rows that repeat an id and a text are copies that
-    link; rows that repeat an id with other texts count as one node. Other columns are not looked at. An empty table gives
+    Rows with a null id link with nothing and have a null component_id. Rows that repeat an id are rows of their own: copies that
+    link where the text is repeated too, else linked by their texts alone. Other columns are not looked at. An empty table gives
     an empty result. Ids are 64-bit integers.
     """
     ship(docs.sparkSession)
-    given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    outline = materialize(given.mapInArrow(_outline(words), "id long, n long, s1 long, s2 long"), "ngram-outline")
-    key = ["n", "s1", "s2"]
-    classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    classes = materialize(classes, "ngram-classes")
-    heads = given.join(small(classes.select(F.col("node").alias("id")), broadcast_rows), "id", "left_semi")
-    prefixes = heads.mapInArrow(_prefix(words, percent), "gram long, node long, least int")
-    shared = prefixes.repartition("gram").sortWithinPartitions("gram").mapInArrow(_counted, "node long, least int, count int, gram long")
-    signed = shared.repartition("node").sortWithinPartitions("node", "count", "gram").mapInArrow(_sign, "sign long, node long")
-    chained = signed.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(_chain, "a long, b long")
+    given = docs.select(col(id_col).cast("long").alias("id"), col(text_col).alias("text"))
+    hashed = given.withColumn("hash", F.xxhash64("text"))
+    outline = materialize(hashed.mapInArrow(_outline(words), "id long, hash long, n long, s1 long, s2 long"), "ngram-outline")
+    key, row = ["n", "s1", "s2"], ["id", "hash"]
+    classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min(F.struct(*row)).alias("head"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select(*key, "copies", "head.*", F.xxhash64(*key).alias("node")), "ngram-classes")
+    heads = _with_rows(hashed, classes.select(*row, "node"), broadcast_bytes).select("node", "text")
+    prefixes = heads.mapInArrow(_prefix(words, percent), "gram long, salt int, node long, least int")
+    shared = prefixes.repartition("gram", "salt").sortWithinPartitions("gram").mapInArrow(_counted, "node long, least int, count int, gram long")
+    signed = shared.repartition("node").sortWithinPartitions("node", "count", "gram").mapInArrow(_sign, "key long, node long, other long")
+    chained = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chain, "a long, b long")
     clusters = components(chained)
-    members = clusters.join(classes.select("node", "n", "copies"), "node")
-    whole = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_grams).cast("int").alias("chunks"))
-    members = members.join(whole, "root").select(F.col("node").alias("id"), "n", "copies", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), "chunks", "root")
+    members = _in_chunks(clusters.join(classes.select("node", "n", "copies", *row), "node"), percent, chunk_grams)
     members = materialize(members, "ngram-members")
-    texts = given.join(small(members, broadcast_rows), "id").select("id", "text", "copies", "chunk", "chunks", "root")
-    dealt = texts.mapInArrow(_deal(words), "root long, one long, two long, chunk long, id long, copies long, grams array<long>")
+    texts = _with_rows(hashed, members, broadcast_bytes).select("node", "text", "copies", "root", "band", "chunk", "own", "below", "above")
+    dealt = texts.mapInArrow(_deal(words), "root long, one long, two long, chunk long, node long, copies long, grams array<long>")
     block = ["root", "one", "two"]
     links = dealt.repartition(*block).sortWithinPartitions(*block).mapInArrow(_join_blocks(percent), "a long, b long, links long")
     links = materialize(links, "ngram-links")
+    release(members)
     roots = components(links.select("a", "b"))
     counts = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     solved = classes.join(roots, "node", "left").join(counts, "node", "left")
-    solved = solved.select(*key, F.coalesce("root", "node").alias("_root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("_links"))
+    least = solved.where("root is not null").groupBy("root").agg(F.min("id").alias("component"))
+    solved = solved.join(least, "root", "left").select(*key, F.coalesce("component", "id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     rows = outline.join(solved, key, "left")
     known = F.col("id").isNotNull()
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("_root", "id")).alias("component_id"), F.when(known, F.coalesce("_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component", "id")).alias("component_id"), F.when(known, F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.col("hash").alias("text_hash"))
