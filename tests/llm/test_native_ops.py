@@ -28,7 +28,7 @@ def judge(url):
             best = rule, verdict
     if best:
         return host, path, *best
-    hit = any(re.search(p.pattern, host + path) for p in url_filter.DEFAULT_PATTERNS)
+    hit = any(re.search(p.pattern, (host + path).translate(FOLD)) for p in url_filter.DEFAULT_PATTERNS)
     return host, path, None, "block" if hit else "allow"
 
 
@@ -48,6 +48,95 @@ def test_urls_against_brute_force(spark):
     assert sorted(map(repr, shuffled.collect())) == sorted(map(repr, got))
 
 
+#: URLs that fit each default pattern, in each way it has.
+FITTING = {
+    "spam-farm": ["spam-farm.example.com/x", "www.spamfarm.com/x", "a-spam-farm-b.net", "x.spamfarm-7.org"],
+    "casino": ["casino.example.com", "a.com/casino/", "a.com/x_casino_y", "best-casino.net", "a.com/casino"],
+    "pills": ["cheap-pills.net", "a.com/buy-pills/x", "a.com/_online-pills_"],
+    "bets": ["free-bets.example.com/en/7", "a.com/go/free-bets", "a.com/free-bets.html"],
+    "ad-tracker": ["ads-track.example.com/p", "x.ads-track.net"],
+    "adult": ["xxx.example.net", "a.com/xxx/", "a.com/a_xxx-b"],
+}
+
+
+def test_every_url_that_a_pattern_fits_fetches_it(spark):
+    assert set(FITTING) == {p.rule for p in url_filter.DEFAULT_PATTERNS}
+    near = ["spam.farm.com/x", "casinos.com", "a.com/mycasino", "pills.com", "a.com/freebets", "ads.track.com", "xxxl.com"]
+    rows = [(u, name) for name, urls in FITTING.items() for u in urls] + [(u, None) for u in near]
+    for p in url_filter.DEFAULT_PATTERNS:
+        for url, name in rows:
+            tokens = set(re.findall("[a-z0-9]+", url))
+            if re.search(p.pattern, url):
+                assert any(set(way) <= tokens for way in p.literals), (p.rule, url)
+            if name == p.rule:
+                assert re.search(p.pattern, url), (p.rule, url)
+    cased = [(f"http://{v}", name) for u, name in rows for v in (u, u.upper(), u.title())]
+    got = url_filter.judge_urls(spark.createDataFrame(cased, "url string, name string"), list(url_filter.DEFAULT_PATTERNS)).collect()
+    assert len(got) == len(cased)
+    assert {r["url"]: r["url_pattern"] for r in got} == dict(cased)
+    assert all((r["url_verdict"] == "block") == (r["name"] is not None) for r in got)
+
+
+#: Names that the operators use inside, or once used, and names that need quoting.
+CLASHES = ["best", "key", "row", "host", "path", "token", "rule", "verdict", "url_key", "URL_HOST", "own", "words", "salt", "class", "before", "at", "id", "hash", "bucket", "bytes", "place", "item", "input0", "secret_row", "value", "found_items", "found_ranges"]
+CLASHES += ["_before", "_source", "_class", "_salt", "_size", "_at", "_hash", "_bucket", "_rows", "_row", "_ranges", "_copy", "a.b", "back`tick", "text_"]
+
+
+def clashing(spark, rows, schema):
+    base = spark.createDataFrame(rows, schema)
+    taken = {c.lower() for c in base.columns}
+    return base.select("*", *[F.lit(f"kept {i}").alias(n) for i, n in enumerate(CLASHES) if n.lower() not in taken])
+
+
+def test_columns_of_any_name_pass_through(spark):
+    docs = clashing(spark, [(1, "one two three", "s"), (2, None, None), (None, "", "t"), (1, "one two three", "s")], "doc_id long, text string, source string")
+    urls = clashing(spark, [(1, "http://xxx.com/"), (2, None)], "page_id int, url string")
+    from siltstone.llm import decontaminate, html_extract, quality, secret_scan, toxicity
+
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    sized = docs.withColumn("size", F.lit(3))
+    results = {
+        "url": (urls, url_filter.judge_urls(urls, RULES)),
+        "decontaminate": (docs, decontaminate.decontaminate(docs, spark.createDataFrame([(7, "two three")], "item_id int, text string"), automaton_bytes=5)),
+        "mix": (sized, mix.plan_mix(sized)),
+        "secrets": (docs, secret_scan.scan_secrets(docs)),
+        "toxicity": (docs, toxicity.score_toxicity(docs, labels)),
+        "quality": (docs, quality.score_quality(docs, labels)),
+        "html": (docs, html_extract.extract_pages(docs, html_col="text", text_col="main_text", keep_html=True)),
+        "shards": (docs, shards.shard(docs, n_shards=3, bucket_bytes=100)),
+    }
+    for what, (given, made) in results.items():
+        rows = made.collect()
+        assert len(rows) == given.count(), what
+        for i, name in enumerate(CLASHES):
+            if name in made.columns and not (what == "url" and name.lower() == "url_host"):
+                assert all(r[name] == f"kept {i}" for r in rows), (what, name)
+        missing = {c.lower() for c in given.columns} - {c.lower() for c in made.columns}
+        assert missing <= {"text"}, (what, missing)
+    emitted = mix.emit_mix(mix.plan_mix(sized))
+    assert emitted.columns == sized.columns and all(r["_copy"].startswith("kept") for r in emitted.collect())
+
+
+def test_very_long_texts_and_tiny_tables(spark):
+    long = "word " * 400_000
+    docs = spark.createDataFrame([(1, long, "s"), (2, "x", "s"), (3, None, None), (4, "", "s")], "doc_id long, text string, source string")
+    sized = docs.withColumn("size", mix.word_count(F.col("text")))
+    taken = {r["doc_id"]: r for r in mix.plan_mix(sized).collect()}
+    assert taken[1]["size"] == 400_000 and taken[3]["target"] == 0
+    assert sorted(r["slot"] for r in shards.shard(docs, n_shards=1, bucket_bytes=1000).collect()) == [0, 1, 2, 3]
+    made = {r["doc_id"]: r for r in fingerprint.fingerprint_pairs(docs.select("doc_id", "text"), range_bytes=1000).collect()}
+    assert len(made[1]["sketch"]) == 1 and made[3]["sketch"] == [] and len(made[1]["edited_text"]) == len(long) // 2 + 1
+    for empty in (mix.plan_mix(sized.limit(0)), shards.shard(docs.limit(0)), fingerprint.fingerprint_pairs(docs.limit(0))):
+        assert empty.count() == 0
+
+
+def test_rows_that_repeat_are_dealt_over_buckets(spark):
+    docs = spark.createDataFrame([(7, "again and again")] * 400 + [(None, None)] * 300 + [(i, f"text {i}") for i in range(100)], "doc_id long, text string")
+    got = shards.shard(docs, n_shards=40, bucket_bytes=3000).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, i) for s in range(40) for i in range(20)]
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter(map(tuple, docs.collect()))
+
+
 def test_urls_rules_without_literals_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, "http://q.net/9"), (2, "http://q.net/a")], "page_id int, url string")
     digits = url_filter.block_pattern("digits", (), "[0-9]$")

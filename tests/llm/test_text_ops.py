@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,7 @@ def brute(rows, words, percent):
 def test_join_against_brute_force(spark, words, percent, chunk):
     rows = near_copies()
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n int")
-    got = ngram_join.jaccard_components(docs, words=words, percent=percent, chunk_grams=chunk, broadcast_rows=0 if chunk == 500 else 1000).collect()
+    got = ngram_join.jaccard_components(docs, words=words, percent=percent, chunk_grams=chunk, broadcast_bytes=0 if chunk == 500 else 1 << 20).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got if r["doc_id"] is not None} == brute(rows, words, percent)
     assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
@@ -209,15 +209,72 @@ def test_ownership_tells_examples_from_live_ones(spark):
     assert secret_scan.scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def in_batches(names, columns, step):
+    for i in range(0, len(columns[0]), step):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + step]) for c in columns], names)
+
+
 def test_counts_of_grams_over_batches(monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_COUNTED", 4)
     grams = sorted([1] * 3 + [2] + [3] * 9 + [4] * 2 + [5] + [6] * 4)
+    names = ["gram", "salt", "node", "least"]
     for step in (1, 2, 3, 5, 50):
-        batches = [ngram_join._rows(["gram", "node", "least"], np.array(grams[i : i + step]), np.arange(i, min(i + step, len(grams))), np.ones(len(grams[i : i + step]), np.int32)) for i in range(0, len(grams), step)]
-        got = sorted((r["node"], r["gram"], r["count"]) for b in ngram_join._counted(iter(batches)) for r in b.to_pylist())
+        columns = [np.array(grams), np.zeros(len(grams), np.int64), np.arange(len(grams)), np.ones(len(grams), np.int32)]
+        got = sorted((r["node"], r["gram"], r["count"]) for b in ngram_join._counted(in_batches(names, columns, step)) for r in b.to_pylist())
         assert got == [(i, g, min(4, grams.count(g))) for i, g in enumerate(grams) if grams.count(g) > 1]
 
 
+@pytest.mark.parametrize(("often", "flush"), [(64, 200_000), (3, 40), (2, 1)])
+def test_frequent_grams_are_counted_alike_everywhere(monkeypatch, often, flush):
+    """What a task sees often goes round the one task of its gram, and every row of a gram still gets one count."""
+    monkeypatch.setattr(ngram_join, "OFTEN", often)
+    monkeypatch.setattr(ngram_join, "FLUSH_ROWS", flush)
+    rng = random.Random(4)
+    texts = ["common line of words here " * (i % 2) + " ".join(rng.choices(["a", "b", "c", "d", "e"], k=6)) for i in range(120)]
+    prefixes = {i: g[: ngram_join.prefix_sizes(len(g), 90)[0]].view(np.int64).tolist() for i, g in enumerate(ngram_join.gram_sets(pa.array(texts), 3))}
+    made = [r for b in ngram_join._prefix(3, 90)(in_batches(["id", "text"], [list(range(120)), texts], 50)) for r in b.to_pylist()]
+    assert any(r["salt"] for r in made) == (often < 64)
+    rng.shuffle(made)
+    made.sort(key=lambda r: r["gram"])
+    names = ["gram", "salt", "node", "least"]
+    columns = [np.array([r[n] for r in made], np.int32 if n in ("salt", "least") else np.int64) for n in names]
+    got = [r for b in ngram_join._counted(in_batches(names, columns, 17)) for r in b.to_pylist()]
+    holders = Counter(g for p in prefixes.values() for g in p)
+    assert Counter((r["node"], r["gram"]) for r in got) == Counter((i, g) for i, p in prefixes.items() for g in p if holders[g] > 1)
+    counts = defaultdict(set)
+    for r in got:
+        counts[r["gram"]].add(r["count"])
+    assert all(len(c) == 1 and c <= {holders[g], ngram_join.MOST_COUNTED} for g, c in counts.items())
+
+
+@pytest.mark.parametrize("flush", [1, 30, 10_000])
+def test_nodes_of_a_sign_are_chained(monkeypatch, flush):
+    monkeypatch.setattr(ngram_join, "FLUSH_ROWS", flush)
+    rng = random.Random(9)
+    rows = sorted({(node, 1, 2, rng.randrange(60) if node % 3 else 7) for node in range(200) for _ in range(2)})
+    columns = [np.array(c, np.int32 if i in (1, 2) else np.int64) for i, c in enumerate(zip(*rows, strict=True))]
+    parts = [ngram_join._sign(in_batches(["node", "least", "count", "gram"], [c[k::2] for c in columns], 13)) for k in (0, 1)]
+    made = sorted((r for part in parts for b in part for r in b.to_pylist()), key=lambda r: (r["key"], r["node"]))
+    names = ["key", "node", "other"]
+    batch = pa.RecordBatch.from_pylist(made, schema=pa.schema([(n, pa.int64()) for n in names]))
+    edges = [(r["a"], r["b"]) for b in ngram_join._chain(iter([batch.slice(i, 11) for i in range(0, len(made), 11)])) for r in b.to_pylist()]
+
+    def parts_of(pairs):
+        root = {i: i for i in range(200)}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return [find(i) for i in range(200)]
+
+    assert parts_of(edges) == parts_of((node, 1000 + sign) for node, _, _, sign in rows)
+
+
 def test_prefixes_of_linked_sets_share_enough():
     rng = np.random.default_rng(5)
     for percent in (80, 90):
