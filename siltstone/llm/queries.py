@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import decontaminate, fingerprint, html_extract, labelled, mix, ngram_join, quality, secret_scan, shards, toxicity, url_filter
-from siltstone.runtime import load
+from siltstone.runtime import load, materialize
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", mix.word_count(F.col("text")).alias("size"))
-    planned = mix.plan_mix(docs)
+    planned = mix.plan_mix(materialize(docs, "mix-sizes"))  # words are counted once, not for each use of the sizes
     return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -1,14 +1,16 @@
 """URL filter, mixing, sharding, fingerprints: brute force, laws and edge cases."""
 
+import hashlib
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import fingerprint, mix, shards, url_filter
+from siltstone.llm import fingerprint, mix, queries, shards, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -276,6 +278,58 @@ def test_next_document_with_null_and_repeated_ids(spark):
     assert fingerprint.fingerprint_pairs(docs.limit(0)).count() == 0
 
 
+def hash64(value, seed):
+    raw = value if isinstance(value, bytes) else int(value).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def plain_sketch(text, k=256, width=5):
+    """The k least 60-bit hashes of the distinct shingles, from their definition: word hashes, chained over a shingle."""
+    words = [hash64(w.encode(), 42) for w in WORD.findall((text or "").translate(FOLD))]
+    found = set()
+    for i in range(len(words) - width + 1 if len(words) >= width else min(1, len(words))):
+        h = 42
+        for w in words[i : i + width]:
+            h = hash64(w, h)
+        found.add(h >> 4)
+    return sorted(found)[:k]
+
+
+def likeness(a, b, k=256):
+    union = sorted(set(a) | set(b))[:k]
+    return len([x for x in union if x in set(a) and x in set(b)]) / len(union) if union else 1.0
+
+
+def test_fingerprint_query_against_brute_force(spark, tmp_path):
+    rows = sorted(texts())
+    folder = str(tmp_path)
+    spark.createDataFrame([(d, t, "en", "s") for d, t in reversed(rows)], "doc_id long, text string, lang string, source string").repartition(5).write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op10_fingerprint(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, (doc, text) in enumerate(rows):
+        text, nxt = text or "", rows[(i + 1) % len(rows)][1] or ""
+        edited = text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]
+        a, b, c = plain_sketch(text), plain_sketch(edited), plain_sketch(nxt)
+        r = got[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == tuple("".join(f"{h:015x}" for h in x) for x in (a, b))
+        assert r["near_edited"] == pytest.approx(likeness(a, b)) and r["near_next"] == pytest.approx(likeness(a, c))
+
+
+def test_shard_query_against_the_contract(spark, tmp_path):
+    rows = [(i, None if i % 50 == 7 else f"é text {i % 30} " * (i % 11)) for i in range(333)]
+    folder = str(tmp_path)
+    spark.createDataFrame([(d, t, "en", "s") for d, t in rows], "doc_id long, text string, lang string, source string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op9_shard(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for doc, text in rows:
+        raw = (text or "").encode()
+        assert (got[doc]["size"], got[doc]["text_crc32"], got[doc]["law"], got[doc]["grown_shard"]) == (len(raw) + 16, zlib.crc32(raw), "rows", None)
+    placed = Counter(r["shard"] for r in got.values())
+    assert set(placed) == set(range(40)) and max(placed.values()) - min(placed.values()) <= 1
+    assert {(r["shard"], r["slot"]) for r in got.values()} == {(s, i) for s, n in placed.items() for i in range(n)}
+
+
 def test_crc_and_water_filling_helpers():
     assert zlib.crc32("é".encode()) == 3346413315 or zlib.crc32("é".encode()) > 0
     assert water([10, 10, 10], [1, 1, 1]) == [10.0, 10.0, 10.0]
