@@ -88,14 +88,25 @@ def stem(token: Column) -> Column:
 
 def name_tokens(text: Column) -> Column:
     """[FN-3] Stemmed words of a name or text: camel case and ``_``/``-`` split, lower-cased, stop words dropped after stemming."""
-    spaced = F.regexp_replace(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " ")
-    words = F.transform(F.split(F.lower(spaced), "[^a-z0-9]+"), stem)
-    return F.filter(words, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+    return _stemmed(_words(text))
+
+
+def _words(text: Column) -> Column:
+    return F.split(F.lower(F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")), "[^a-z0-9]+")
+
+
+def _stemmed(words: Column) -> Column:
+    return F.filter(F.transform(words, stem), lambda w: (w != "") & ~w.isin(*STOP_WORDS))
+
+
+def distinct_tokens(text: Column) -> Column:
+    """The distinct ``name_tokens``. Words are made distinct before they are stemmed, so a long text's repeats cost little."""
+    return F.array_distinct(_stemmed(F.array_distinct(_words(text))))
 
 
 def token_overlap(query: Column, text: Column) -> Column:
     """[AGG-15, SET-4] How many distinct tokens of ``query`` (an array) the text has."""
-    return F.size(F.array_intersect(query, name_tokens(text)))
+    return F.size(F.array_intersect(query, distinct_tokens(text)))
 
 
 def normalize_path(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import LANGUAGE_KEYWORDS, line_slice, name_tokens
+from siltstone.functions.text import LANGUAGE_KEYWORDS, distinct_tokens, line_slice, token_overlap
 
 NAME_WEIGHT, SIGNATURE_WEIGHT, BODY_WEIGHT, BODY_BONUS, START_BONUS, THRESHOLD = 3, 2, 2, 1, 0.25, 1
 #: Symbol kinds by how well they stand for a chunk.
@@ -34,11 +34,29 @@ def primary_symbols(chunks: DataFrame, symbols: DataFrame, *, keys: list[str], c
 
 def symbol_score(query: Column, name: Column, signature: Column, body: Column, starts_inside: Column) -> Column:
     """[FN-5] Weighted token overlap of the query with name, signature and body. A null body counts nothing."""
-    count = lambda text: F.size(F.array_intersect(query, name_tokens(F.coalesce(text, F.lit("")))))
+    count = lambda text: token_overlap(query, F.coalesce(text, F.lit("")))
     in_body = count(body)
     return NAME_WEIGHT * count(name) + SIGNATURE_WEIGHT * count(signature) + BODY_WEIGHT * in_body + F.when(in_body > 0, BODY_BONUS).otherwise(0) + F.when(starts_inside, START_BONUS).otherwise(0.0)
 
 
+def ranked_matches(queries: DataFrame, texts: DataFrame, k: int, *, query_id: str, text_id: str, text_col: str = "text") -> DataFrame:
+    """[AGG-15, SET-4, FN-5] For each query text the ``k`` texts whose first line (as the name) and whole (as the body) it fits best:
+    (query_id, text_id, score, place), ties to the lesser id. Both sides have an id and ``text_col``.
+
+    An inverted join on tokens, never all pairs: a text's tokens and what each is worth are computed inside its row, and the
+    queries' tokens are broadcast by the planner while they are small. Pairs without a common token have no row.
+    """
+    asked = queries.select(query_id, F.explode_outer(distinct_tokens(F.col(text_col))).alias("token")).where("token is not null")
+    first = F.substring_index(text_col, "\n", 1)
+    told = texts.select(text_id, distinct_tokens(first).alias("name"), distinct_tokens(F.col(text_col)).alias("tokens"))
+    worth = lambda t: F.lit(BODY_WEIGHT) + F.when(F.array_contains("name", t), NAME_WEIGHT).otherwise(0)
+    each = told.select(text_id, F.explode_outer(F.transform("tokens", lambda t: F.struct(t.alias("token"), worth(t).alias("worth")))).alias("t"))
+    met = each.select(text_id, F.col("t.token").alias("token"), F.col("t.worth").alias("worth")).join(asked, "token")
+    scored = met.groupBy(query_id, text_id).agg((F.sum("worth") + BODY_BONUS).alias("score"))
+    place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), text_id))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
 def attribute(results: DataFrame, symbols: DataFrame, query_tokens: Column, *, result_key: list[str], content_col: str | None = None) -> DataFrame:
     """[WIN-2, FN-6, FLT-15] ``results`` with ``symbol``: the function or method in the result's lines that the query fits best,
     from a score of 1 on; else the chunk's stored primary symbol; never a word of the language."""

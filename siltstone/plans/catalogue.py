@@ -77,12 +77,6 @@ _FAR = "round(list_cosine_distance(e.embedding::DOUBLE[], q.q), 9)"
 _SCORE = "greatest(0.0, 1 - distance / 2)"
 
 
-def _exploded(tokens: Column) -> Column:
-    """Distinct tokens as rows, null for none. The outer form: for the inner one Spark infers a filter on the array's size, which
-    would compute the tokens again."""
-    return F.explode_outer(F.array_distinct(tokens))
-
-
 def _query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
     return list(load(spark, sf, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0])
 
@@ -272,7 +266,8 @@ def token_estimate(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT token, count(*) AS docs FROM (SELECT unnest(list_distinct({_tokens_sql('text')})) AS token FROM documents) GROUP BY token HAVING count(*) > 1")
 def term_df(spark: SparkSession, sf: str) -> DataFrame:
     """FN-3, FN-4"""
-    words = load(spark, sf, "documents").select(_exploded(text.name_tokens(F.col("text"))).alias("token")).where("token is not null")
+    # The outer form: for the inner one Spark infers a filter on the array's size, which would compute the tokens again.
+    words = load(spark, sf, "documents").select(F.explode_outer(text.distinct_tokens(F.col("text"))).alias("token")).where("token is not null")
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
 
 
@@ -281,14 +276,8 @@ h AS (SELECT doc_id, token, list_contains({_tokens_sql("string_split(text, chr(1
 s AS (SELECT item_id, doc_id, CAST(sum(2 + CASE WHEN head THEN 3 ELSE 0 END) + 1 AS BIGINT) AS score FROM i JOIN h USING (token) GROUP BY item_id, doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM s) SELECT item_id, doc_id, score, place FROM r WHERE place <= 3""")
 def token_overlap_rank(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-15, FN-5, SET-4: by an inverted join on tokens, not by comparing all pairs"""
-    items = load(spark, sf, "benchmark").select("item_id", _exploded(text.name_tokens(F.col("text"))).alias("token")).where("token is not null")
-    head = text.name_tokens(F.element_at(F.split("text", "\n"), 1))
-    docs = load(spark, sf, "documents").select("doc_id", head.alias("head"), _exploded(text.name_tokens(F.col("text"))).alias("token")).where("token is not null")
-    worth = F.lit(attribute.BODY_WEIGHT) + F.when(F.array_contains("head", F.col("token")), attribute.NAME_WEIGHT).otherwise(0)
-    met = docs.select("doc_id", "token", worth.alias("worth")).join(items, "token").groupBy("item_id", "doc_id").agg((F.sum("worth") + attribute.BODY_BONUS).alias("score"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id"))
-    return met.withColumn("place", place).where("place <= 3")
+    """AGG-15, FN-5, SET-4"""
+    return attribute.ranked_matches(load(spark, sf, "benchmark"), load(spark, sf, "documents"), 3, query_id="item_id", text_id="doc_id")
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
