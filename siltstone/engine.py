@@ -20,7 +20,7 @@ from siltstone.runtime import materialize
 from siltstone.schemas import import_kind
 from siltstone.sources import git
 from siltstone.sources.config import Config
-from siltstone.sources.files import scan_files
+from siltstone.sources.files import read_contents, scan_files
 from siltstone.sources.store import Store
 
 #: More changed files than this are a reason to index everything anew.
@@ -30,18 +30,20 @@ FULL_REINDEX = 20_000
 class Engine:
     """One project in one store. ``provider`` makes vectors; without a model server the hashing one is used."""
 
-    def __init__(self, spark: SparkSession, root: str, store: Store, project: str, *, config: Config | None = None, provider: Provider | None = None):
+    def __init__(self, spark: SparkSession, root: str, store: Store, project: str, *, config: Config | None = None, provider: Provider | None = None, auto_refresh: bool = True):
+        """``auto_refresh``: the queries index what has changed since the latest snapshot first. [INC-2]"""
+        self.auto_refresh = auto_refresh
         self.spark, self.root, self.store, self.project = spark, root, store, project
         self.config, self.provider = config or Config(), provider or HashingProvider()
 
     # Indexing
-    def _scan(self) -> DataFrame:
+    def _scan(self, *, content: bool = True) -> DataFrame:
         rules = os.path.join(self.root, ".gitignore")
         text = None
         if os.path.exists(rules):
             with open(rules, encoding="utf-8", errors="replace") as f:
                 text = f.read()
-        return scan_files(self.spark, self.root, ignore_text=text)
+        return scan_files(self.spark, self.root, ignore_text=text, content=content)
 
     def _write(self, snapshot: str, changed: DataFrame, every: DataFrame) -> int:
         """Extract, chunk, resolve, embed and write the changed files (with content). ``every``: all paths of the snapshot."""
@@ -66,11 +68,10 @@ class Engine:
         rows = rows.select(*ids, "file_path", "start_line", "end_line", hash_text(F.col("text")).alias("content_hash"), token_estimate(F.col("text")).alias("token_estimate"), chunk_type(F.col("stated"), F.col("text"), symbol).alias("chunk_type"), symbol.alias("primary_symbol"), F.lit(False).alias("has_overlap"), "text")
         rows = rows.withColumn("chunk_id", key("file_path", "start_line", "end_line", "content_hash"))
         self.store.write("chunks", rows)
-        vectors = embed(rows, self.provider, text_col="text", batch=self.config.indexBatchSize).where("embedding is not null")
-        self.store.write("vectors", vectors)
-        churn = git.churn_by_file(self.root)
-        per_file = self.spark.createDataFrame(list(churn.items()), "path string, churn long")
-        metrics = changed.select("path").join(per_file, "path", "left").select(F.col("path").alias("file_path"), F.to_json(F.struct(F.lit(0).alias("complexity"), F.lit(100).alias("maintainability"), F.coalesce("churn", F.lit(0)).alias("churn"))).alias("metrics_json"))
+        asked = rows.where("chunk_type <> 'imports'") if self.config.skipImportChunksInVectors else rows  # [FLT-16]
+        vectors = embed(asked, self.provider, text_col="text", batch=self.config.indexBatchSize).where("embedding is not null")
+        self.store.upsert("vectors", vectors, ["chunk_id"])
+        metrics = git.with_churn(changed.select("path"), git.churn_table(self.spark, self.root)).select(F.col("path").alias("file_path"), F.to_json(F.struct(F.lit(0).alias("complexity"), F.lit(100).alias("maintainability"), "churn")).alias("metrics_json"))
         self.store.write("file_metrics", metrics.select(*ids, "file_path", "metrics_json", F.unix_millis(F.current_timestamp()).alias("updated_at")))
         self.errors = parsed.where("error is not null").select("path", "error")
         return changed.count()
@@ -79,6 +80,7 @@ class Engine:
         """[INC-1] Index the working tree: all of it, or what changed against the latest completed snapshot. Returns the id of the
         snapshot that is now the latest; nothing changed, nothing is written. Files are compared by content hash, so the working
         tree's own changes count whether or not they are committed. [INC-2, INC-3, JOIN-14]"""
+        self.store.fail_stale(self.project)
         old = self.store.latest_snapshot(self.project)
         now = materialize(self._scan(), "scan")
         if old and not full:
@@ -116,6 +118,18 @@ class Engine:
             raise LookupError("the project isn't indexed")
         return snapshot
 
+    def refresh(self) -> str:
+        """[INC-2] Index again if a file came, went or was written since the latest snapshot; names and times are compared, so
+        nothing is read if all is as it was. A run that fails leaves the old snapshot in use."""
+        snapshot = self._latest()
+        known = self.store.read("files", self.project, snapshot).select("path", "mtime_ms")
+        now = self._scan(content=False)
+        same = now.count() == known.count() and now.join(known, ["path", "mtime_ms"], "left_anti").isEmpty()
+        return snapshot if same else self.index()
+
+    def _current(self) -> str:
+        return self.refresh() if self.auto_refresh else self._latest()
+
     def table(self, name: str, snapshot: str | None = None) -> DataFrame:
         return self.store.read(name, self.project, snapshot or self._latest())
 
@@ -126,27 +140,29 @@ class Engine:
         return p if p and not files.where(has_prefix(F.col("path"), p)).isEmpty() else None
 
     def search(self, query: str, *, k: int = 3, prefix: str | None = None, chunk_types: Sequence[str] = (), include_imports: bool = False, min_score: float | None = None) -> DataFrame:
-        snapshot = self._latest()
+        snapshot = self._current()
         least = self.config.searchMinScore if min_score is None else min_score
         vector = self.provider.embed([query])[0]
-        return run_search(self.table("vectors", snapshot), self.table("symbols", snapshot), query, vector, project=self.project, snapshot=snapshot, k=k, prefix=self._prefix(prefix, self.table("files", snapshot)), chunk_types=chunk_types, include_imports=include_imports, min_score=least)
+        return run_search(self.table("vectors", snapshot), self.table("symbols", snapshot), query, vector, project=self.project, snapshot=snapshot, k=k, prefix=self._prefix(prefix, self.table("files", snapshot)), chunk_types=chunk_types, include_imports=include_imports, min_score=least, contents=lambda paths: read_contents(self.spark, self.root, paths))
 
     def structure(self, **options) -> DataFrame:
-        files = self.table("files")
+        files = self.table("files", self._current())
         options["prefix"] = self._prefix(options.get("prefix"), files)
         options.setdefault("excludes", () if options.pop("include_fixtures", False) else self.config.excludePaths)
         return lookup.structure(files, self.table("symbols"), **options)
 
     def architecture(self, *, prefix: str | None = None, include_fixtures: bool = False) -> architecture.Architecture:
-        files = self.table("files")
+        files = self.table("files", self._current())
         made = architecture.summarise(files, self.table("dependencies"), excludes=() if include_fixtures else self.config.excludePaths)
         return architecture.under(made, files, self._prefix(prefix, files))
 
     def explain(self, query: str, **options) -> DataFrame:
-        return lookup.explain(self.table("symbols"), self.table("dependencies"), query, **options)
+        snapshot = self._current()
+        return lookup.explain(self.table("symbols", snapshot), self.table("dependencies", snapshot), query, **options)
 
     def deps(self, path: str, **options) -> DataFrame:
-        return lookup.deps(self.table("files"), self.table("dependencies"), path, **options)
+        snapshot = self._current()
+        return lookup.deps(self.table("files", snapshot), self.table("dependencies", snapshot), path, **options)
 
     def status(self) -> DataFrame:
         return lookup.status({name: self.table(name) for name in ("files", "symbols", "chunks", "dependencies", "vectors")})

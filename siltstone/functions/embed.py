@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -58,25 +61,26 @@ class HashingProvider:
 
 class HttpProvider:
     """A model server with ``POST /api/embed`` {model, input} -> {embeddings}. Texts that overflow the context are retried at 0.9
-    and 0.75 of it."""
+    and 0.75 of it. A server that doesn't know this address is asked text by text at ``/api/embeddings`` {model, prompt}."""
 
     def __init__(self, url: str, model: str, size: int, context: int = 512, timeout: float = 15.0):
         self.url, self.model, self.size, self.context, self.timeout = url.rstrip("/"), model, size, context, timeout
 
+    def _post(self, address: str, **body: object) -> dict:
+        sent = json.dumps({"model": self.model, **body, "options": {"num_ctx": self.context}}).encode()
+        request = urllib.request.Request(f"{self.url}{address}", sent, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)
+
     def embed(self, texts: list[str]) -> list[list[float]]:
-        import json
-        import urllib.error
-        import urllib.request
-
-        for share in (None, 0.9, 0.75):
-            sent = texts if share is None else [trim_to_budget(t, max(16, int(self.context * share))) for t in texts]
-            body = json.dumps({"model": self.model, "input": sent, "options": {"num_ctx": self.context}}).encode()
-            request = urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"})
+        for share in (1.0, 0.9, 0.75):
+            sent = texts if share == 1.0 else [trim_to_budget(t, max(16, int(self.context * share))) for t in texts]
             try:
-                with urllib.request.urlopen(request, timeout=self.timeout) as answer:
-                    got = json.load(answer)["embeddings"]
+                got = self._post("/api/embed", input=sent)["embeddings"]
             except urllib.error.HTTPError as e:
-                if share == 0.75 or e.code == 404:
+                if e.code == 404:
+                    return [self._post("/api/embeddings", prompt=t)["embedding"] for t in texts]
+                if share == 0.75:
                     raise
                 continue
             if len(got) != len(texts):

@@ -18,12 +18,14 @@ SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x
 STOP_WORDS = ("a", "an", "and", "for", "get", "has", "is", "of", "on", "or", "set", "the", "to")
 
 # Words of programming languages that are never reported as a symbol.
-LANGUAGE_KEYWORDS = tuple(
-    """if else for while do switch case break continue return throw try catch finally new delete typeof instanceof in of void
-    class extends super import export default const let var function async await yield with debugger enum implements interface
-    package private protected public static abstract readonly declare type namespace module from as get set true false null
-    undefined this def elif except lambda pass raise assert global nonlocal and or not is end then begin fn mut pub use mod
-    crate impl trait where loop match move ref struct Self self unsafe extern""".split()
+LANGUAGE_KEYWORDS = (
+    "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "return", "throw", "try", "catch", "finally", "new",
+    "delete", "typeof", "instanceof", "in", "of", "void", "class", "extends", "super", "import", "export", "default", "const", "let",
+    "var", "function", "async", "await", "yield", "with", "debugger", "enum", "implements", "interface", "package", "private",
+    "protected", "public", "static", "abstract", "readonly", "declare", "type", "namespace", "module", "from", "as", "get", "set",
+    "true", "false", "null", "undefined", "this", "def", "elif", "except", "lambda", "pass", "raise", "assert", "global", "nonlocal",
+    "and", "or", "not", "is", "end", "then", "begin", "fn", "mut", "pub", "use", "mod", "crate", "impl", "trait", "where", "loop",
+    "match", "move", "ref", "struct", "Self", "self", "unsafe", "extern",
 )
 
 # File extensions of each language.
@@ -39,19 +41,19 @@ EXTENSION_LANGUAGE = {e: name for name, es in LANGUAGES.items() for e in es}
 # Names of test files by extension; the part before them is free.
 TEST_FOLDERS = r"(?i)(__tests?__/|(^|/)(tests?|spec|fixtures)/)"
 TEST_NAMES = {
-    ".ts": r"(?i)[.](test|spec)[.]ts$",
-    ".tsx": r"(?i)[.](test|spec)[.]tsx$",
-    ".js": r"(?i)[.](test|spec)[.]js$",
-    ".jsx": r"(?i)[.](test|spec)[.]jsx$",
-    ".mjs": r"(?i)[.](test|spec)[.]mjs$",
-    ".py": r"(?i)(^|/)(test_|_test[.]py$)",
-    ".cs": r"(?i)(tests?|specs?)[.]cs$",
-    ".rb": r"(?i)(^|/)(_test[.]rb$|_spec[.]rb$)",
-    ".gd": r"(?i)[.]test[.]gd$",
+    ".ts": r"(?i)\.(test|spec)\.ts$",
+    ".tsx": r"(?i)\.(test|spec)\.tsx$",
+    ".js": r"(?i)\.(test|spec)\.js$",
+    ".jsx": r"(?i)\.(test|spec)\.jsx$",
+    ".mjs": r"(?i)\.(test|spec)\.mjs$",
+    ".py": r"(?i)(^|/)(test_|_test\.py$)",
+    ".cs": r"(?i)(tests?|specs?)\.cs$",
+    ".rb": r"(?i)(^|/)(_test\.rb$|_spec\.rb$)",
+    ".gd": r"(?i)\.test\.gd$",
 }
 #: What the rules above miss, with ``strict``.
-STRICT_TEST_NAMES = {".py": r"(?i)(^|/)(test_[^/]*|[^/]*_test)[.]py$", ".rb": r"(?i)_(test|spec)[.]rb$"}
-TEST_PATH = r"(/__tests__/|/__test__/|/tests/|/test/|/fixtures/|[./](spec|test)[.][^/]+$)"
+STRICT_TEST_NAMES = {".py": r"(?i)(^|/)(test_[^/]*|[^/]*_test)\.py$", ".rb": r"(?i)_(test|spec)\.rb$"}
+TEST_PATH = r"(/__tests__/|/__test__/|/tests/|/test/|/fixtures/|[./](spec|test)\.[^/]+$)"
 
 # Symbol kinds in the order in which they are preferred.
 KIND_ORDER = ("class", "function", "method", "interface", "type")
@@ -120,7 +122,7 @@ def normalize_path(path: Column) -> Column:
 
 def extension(path: Column) -> Column:
     """The lower-cased extension with its dot; empty without one."""
-    return F.lower(F.regexp_extract(path, r"[.][^./]+$", 0))
+    return F.lower(F.regexp_extract(path, r"\.[^./]+$", 0))
 
 
 def language_of(path: Column) -> Column:
@@ -268,7 +270,7 @@ def exported(language: Column, name: Column, declaration: Column, kind: Column,
 
 
 CHUNK_TYPES = ("full_file", "imports", "preamble", "declaration", "module_section", "impl", "types")
-IMPORT_LINE = r"(?i)^(import\b|from\s+\S+\s+import\b|using\s+\S+\s*;|export\b.+\bfrom\b|const\s+.+\s*=\s*require[(])"
+IMPORT_LINE = r"(?i)^(import\b|from\s+\S+\s+import\b|using\s+\S+\s*;|export\b.+\bfrom\b|const\s+.+\s*=\s*require\()"
 TYPE_WORD = r"(?i)(^|\s)(interface|type|enum|protocol|trait|typedef|delegate)\b"
 
 

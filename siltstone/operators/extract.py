@@ -212,7 +212,18 @@ def read_typescript(text: str, path: str) -> Parsed:
                 import_end = max(import_end, at(close))
     out.imports += [Import("require", m[2], at(m.start())) for m in re.finditer(r"\brequire\(\s*(['\"])([^'\"]+)\1", text) if code[m.start() : m.start() + 7] == "require"]
     out.imports += [Import("dynamic_import", m[2], at(m.start())) for m in re.finditer(r"\bimport\(\s*(['\"])([^'\"]+)\1", text) if code[m.start() : m.start() + 6] == "import"]
-    out.chunks = _merge_segments(lines, import_end, [(at(a), at(b - 1), k, n) for a, b, k, n in spans])
+    out.chunks = _merge_segments(lines, import_end, [(at(a), at(b - 1), k, n) for a, b, k, n in spans], _statement_lines(code))
+    return out
+
+
+def _statement_lines(code: str) -> list[int]:
+    """Numbers of the lines on which a top-level statement begins: outside of all brackets, and not going on with the line before."""
+    out, depth = [], 0
+    for number, line in enumerate(code.split("\n"), 1):
+        begun = line.strip()
+        if depth == 0 and begun and begun[0] not in ".)]},;?:&|+*=":
+            out.append(number)
+        depth = max(0, depth + sum(line.count(c) for c in "([{") - sum(line.count(c) for c in ")]}"))
     return out
 
 
@@ -235,8 +246,8 @@ def _close_paren(code: str, start: int) -> int:
     return len(code)
 
 
-#: Token sizes of merged TypeScript chunks: what to fill up to, the most, and the least that may stand alone.
-TARGET_TOKENS, MAX_TOKENS, MIN_TOKENS, OVERLAP_TOKENS = 280, 560, 28, 42
+# Token sizes of merged TypeScript chunks: what to fill up to, and the most.
+TARGET_TOKENS, MAX_TOKENS = 280, 560
 
 
 def _tokens(text: str) -> int:
@@ -244,54 +255,70 @@ def _tokens(text: str) -> int:
     return -(-len(t) // 4)
 
 
-def _merge_segments(lines: list[str], import_end: int, spans: list[tuple[int, int, str, str | None]]) -> list[Chunk]:
-    """Top-level segments, cut where one is too long and merged up to the target; imports and types before the code never
-    share a chunk with code."""
+def _pieces(lines: list[str], start: int, end: int, most: int, shared: int) -> list[tuple[int, int]]:
+    """Line ranges of a segment that is too long: each filled up to ``most`` tokens, each begun so far back in the one before that
+    they have ``shared`` tokens in common."""
+    sizes = [_tokens(line) for line in lines[start - 1 : end]]
+    out, first, size = [], 0, 0
+    for i, own in enumerate(sizes):
+        if i > first and size + own > most:
+            out.append((start + first, start + i - 1))
+            back, again = i, 0
+            while back > first and again < shared:
+                back -= 1
+                again += sizes[back]
+            first, size = back, again
+        size += own
+    return [*out, (start + first, end)]
+
+
+def _merge_segments(lines: list[str], import_end: int, spans: list[tuple[int, int, str, str | None]], statements: list[int] = (), target: int = TARGET_TOKENS, most: int = MAX_TOKENS) -> list[Chunk]:
+    """Top-level statements as chunks: cut where one has over ``most`` tokens, else gathered until they reach ``target``. Imports and types
+    at the top of a file share no chunk with code, and a tiny rest joins the chunk before it."""
+    least, shared = min(50, max(1, target // 10)), min(120, target * 15 // 100)
     segments: list[tuple[int, int, str, str | None]] = [(1, import_end, "imports", None)] if import_end else []
     after = import_end + 1
-    for start, end, kind, name in sorted(spans):
-        if start > after:
-            segments.append((after, start - 1, "impl", None))
+    for start, end, kind, name in [*sorted(spans), (len(lines) + 1, len(lines), "impl", None)]:
+        cuts = [after, *(n for n in statements if after < n < start), start]
+        segments += [(a, b - 1, "impl", None) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         if end >= after:
             segments.append((max(start, after), end, kind, name))
-            after = end + 1
-    if after <= len(lines):
-        segments.append((after, len(lines), "impl", None))
-    cut: list[tuple[int, int, str, str | None]] = []
-    for start, end, kind, name in segments:
-        if _tokens(_slice(lines, start, end)) <= MAX_TOKENS:
-            cut.append((start, end, kind, name))
-            continue
-        begin = start
-        while begin <= end:
-            stop, size = begin, _tokens(lines[begin - 1])
-            while stop < end and size + _tokens(lines[stop]) <= TARGET_TOKENS:
-                stop += 1
-                size += _tokens(lines[stop - 1])
-            cut.append((begin, stop, kind, name))
-            if stop >= end:
-                break
-            back, shared = stop, 0
-            while back > begin + 1 and shared + _tokens(lines[back - 1]) <= OVERLAP_TOKENS:
-                shared += _tokens(lines[back - 1])
-                back -= 1
-            begin = back + 1
+        after = max(after, end + 1)
+    size_of = lambda seg: _tokens(_slice(lines, seg[0], seg[1]))
+    preamble = lambda group: group[0][0] == 1 and all(s[2] != "impl" for s in group)
     groups: list[list[tuple[int, int, str, str | None]]] = []
-    for seg in cut:
-        if not _slice(lines, seg[0], seg[1]).strip():
-            continue
-        if groups:
-            last = groups[-1]
-            size = _tokens(_slice(lines, last[0][0], last[-1][1])) + _tokens(_slice(lines, seg[0], seg[1]))
-            early = all(s[2] != "impl" for s in last)
-            if size <= TARGET_TOKENS and not (early and seg[2] == "impl"):
-                last.append(seg)
+    open_, held = [], 0
+
+    def close() -> None:
+        nonlocal open_, held
+        if open_:
+            groups.append(open_)
+        open_, held = [], 0
+
+    for segment in segments:
+        whole = size_of(segment) <= most
+        for start, end in [segment[:2]] if whole else _pieces(lines, segment[0], segment[1], most, shared):
+            piece = (start, end, *segment[2:])
+            size = size_of(piece)
+            if not size:
+                continue
+            if open_ and preamble(open_) and piece[2] == "impl" or size > most:
+                close()
+            if size > most:
+                groups.append([piece])
                 continue
-        groups.append([seg])
-    if len(groups) > 1 and _tokens(_slice(lines, groups[-1][0][0], groups[-1][-1][1])) < MIN_TOKENS:
-        size = _tokens(_slice(lines, groups[-2][0][0], groups[-1][-1][1]))
-        if size <= MAX_TOKENS and any(s[2] == "impl" for s in groups[-2]):
-            groups[-2] += groups.pop()
+            fits = held + size <= most or held < least
+            if not fits:
+                close()
+            open_.append(piece)
+            held += size
+            if fits and held >= target:
+                close()
+    close()
+    if len(groups) > 1 and sum(map(size_of, groups[-1])) < least:
+        both = groups[-2] + groups[-1]
+        if sum(map(size_of, both)) <= most and not (preamble(groups[-2]) and any(s[2] == "impl" for s in groups[-1])):
+            groups[-2:] = [both]
     out = []
     for i, g in enumerate(groups):
         kinds = {s[2] for s in g}
@@ -493,10 +520,10 @@ ENTRY_NAMES = {
     4: ("index.js", "index.jsx"),
 }
 OTHER_ENTRIES = {
-    "python": r"(__main__|manage)[.]py$",
-    "csharp": r"(GameManager|Bootstrap)[.]cs$",
-    "gdscript": r"(?i)/(main|bootstrap|game_manager)[.]gd$",
-    "ruby": r"(/bin/[^/]*[.]rb|/(main|app|cli|boot)[.]rb)$",
+    "python": r"(__main__|manage)\.py$",
+    "csharp": r"(GameManager|Bootstrap)\.cs$",
+    "gdscript": r"(?i)/(main|bootstrap|game_manager)\.gd$",
+    "ruby": r"(/bin/[^/]*\.rb|/(main|app|cli|boot)\.rb)$",
 }
 
 

@@ -8,20 +8,26 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import language_of, normalize_path
 
 # Modules that come with Node, Python and Ruby, and root namespaces of .NET.
-NODE_BUILTINS = tuple("assert async_hooks buffer child_process crypto dns events fs http https net os path punycode querystring readline stream string_decoder tls url util zlib".split())
-PYTHON_BUILTINS = tuple(
-    """abc argparse ast asyncio base64 bisect calendar cmath collections concurrent configparser contextlib contextvars copy csv
-    ctypes dataclasses datetime decimal difflib enum fileinput functools glob gzip hashlib hmac http io itertools json keyword
-    linecache locale logging mailbox marshal math mimetypes multiprocessing numbers operator os pathlib pickle platform pprint
-    queue re secrets select shelve signal smtplib socket sqlite3 ssl statistics string struct subprocess sys tarfile tempfile
-    textwrap threading time traceback typing unicodedata unittest urllib uuid warnings weakref xml zipfile zlib""".split()
+NODE_BUILTINS = (
+    "assert", "async_hooks", "buffer", "child_process", "crypto", "dns", "events", "fs", "http", "https", "net", "os", "path",
+    "punycode", "querystring", "readline", "stream", "string_decoder", "tls", "url", "util", "zlib",
 )
-RUBY_BUILTINS = tuple(
-    """base64 benchmark bigdecimal csv date delegate digest drb erb etc fcntl fiddle fileutils find forwardable getoptlong io
-    ipaddr json logger matrix minitest monitor net nkf objspace observer open3 optparse ostruct pathname pp prettyprint prime
-    pstore psych pty racc random rdoc readline resolv rexml ripper rss rubygems scanf sdbm securerandom set shell shellwords
-    singleton socket stringio strscan syslog tempfile test thread thwait time timeout tmpdir tracer tsort un uri weakref
-    webrick yaml zlib""".split()
+PYTHON_BUILTINS = (
+    "abc", "argparse", "ast", "asyncio", "base64", "bisect", "calendar", "cmath", "collections", "concurrent", "configparser",
+    "contextlib", "contextvars", "copy", "csv", "ctypes", "dataclasses", "datetime", "decimal", "difflib", "enum", "fileinput",
+    "functools", "glob", "gzip", "hashlib", "hmac", "http", "io", "itertools", "json", "keyword", "linecache", "locale", "logging",
+    "mailbox", "marshal", "math", "mimetypes", "multiprocessing", "numbers", "operator", "os", "pathlib", "pickle", "platform",
+    "pprint", "queue", "re", "secrets", "select", "shelve", "signal", "smtplib", "socket", "sqlite3", "ssl", "statistics", "string",
+    "struct", "subprocess", "sys", "tarfile", "tempfile", "textwrap", "threading", "time", "traceback", "typing", "unicodedata",
+    "unittest", "urllib", "uuid", "warnings", "weakref", "xml", "zipfile", "zlib",
+)
+RUBY_BUILTINS = (
+    "base64", "benchmark", "bigdecimal", "csv", "date", "delegate", "digest", "drb", "erb", "etc", "fcntl", "fiddle", "fileutils",
+    "find", "forwardable", "getoptlong", "io", "ipaddr", "json", "logger", "matrix", "minitest", "monitor", "net", "nkf", "objspace",
+    "observer", "open3", "optparse", "ostruct", "pathname", "pp", "prettyprint", "prime", "pstore", "psych", "pty", "racc", "random",
+    "rdoc", "readline", "resolv", "rexml", "ripper", "rss", "rubygems", "scanf", "sdbm", "securerandom", "set", "shell", "shellwords",
+    "singleton", "socket", "stringio", "strscan", "syslog", "tempfile", "test", "thread", "thwait", "time", "timeout", "tmpdir",
+    "tracer", "tsort", "un", "uri", "weakref", "webrick", "yaml", "zlib",
 )
 DOTNET_ROOTS = ("System", "Microsoft", "Mono", "NET")
 
@@ -42,7 +48,7 @@ def candidates(spec: Column, from_path: Column, language: Column) -> Column:
     """Paths that the specifier may mean, best first."""
     folder = _folder(from_path)
     relative = _joined(folder, spec)
-    bare = F.regexp_replace(relative, r"(?i)[.](jsx?|mjs|cjs)$", "")
+    bare = F.regexp_replace(relative, r"(?i)\.(jsx?|mjs|cjs)$", "")
     typescript = F.concat(F.array(relative, bare), _each(bare, [".ts", ".tsx", ".mts", ".cts", "/index.ts", "/index.tsx"]))
     dots = F.length(F.regexp_extract(spec, r"^\.+", 0))
     rest = F.regexp_replace(F.regexp_replace(spec, r"^\.+", ""), r"\.", "/")
@@ -60,7 +66,7 @@ def candidates(spec: Column, from_path: Column, language: Column) -> Column:
     return (
         F.when(language == "typescript", F.when(spec.startswith("."), typescript).otherwise(empty))
         .when(language == "python", F.when(spec.startswith("."), py_relative).otherwise(py_absolute))
-        .when(language == "gdscript", F.when(pathlike | spec.rlike(r"[.]gd$|[.]tscn$"), F.concat(godot, F.array(normalize_path(spec)))).otherwise(empty))
+        .when(language == "gdscript", F.when(pathlike | spec.rlike(r"\.gd$|\.tscn$"), F.concat(godot, F.array(normalize_path(spec)))).otherwise(empty))
         .when(language == "ruby", F.when(spec.startswith("."), ruby).otherwise(empty))
         .otherwise(empty)
     )
@@ -94,7 +100,7 @@ def resolve(imports: DataFrame, files: DataFrame, *, spec_col: str = "to_specifi
     paths = files.select("path").distinct()
     tried = open_.select("spec", "src", F.posexplode(candidates(F.col("spec"), F.col("src"), F.col("language"))).alias("rank", "path"))
     hits = tried.join(paths, "path")
-    stem = F.regexp_extract("path", r"([^/]+?)[.][^./]+$", 1)
+    stem = F.regexp_extract("path", r"([^/]+?)\.[^./]+$", 1)
     by_class = open_.where("language = 'gdscript'").join(paths.where("path like '%.gd'").select(stem.alias("spec"), "path"), "spec").select("path", "spec", "src", F.lit(1000).alias("rank"))
     sharp = paths.where("path like '%.cs'").select("path", F.explode(F.array_distinct(F.concat(F.filter(F.split(_folder(F.col("path")), "/"), lambda s: s != ""), F.array(stem)))).alias("part"))
     parts = open_.where("language = 'csharp'").select("spec", "src", F.posexplode(F.reverse(F.split("spec", r"\."))).alias("_at", "part"))
@@ -110,8 +116,8 @@ def resolve(imports: DataFrame, files: DataFrame, *, spec_col: str = "to_specifi
 def canonical_source(dependencies: DataFrame, files: DataFrame, *, col: str = "to_path") -> DataFrame:
     """[PRJ-7] ``/dist/….js`` targets replaced by the ``/src/….ts`` or ``.tsx`` that they were built from, where known."""
     target = F.col(col)
-    built = target.contains("/dist/") & target.rlike(r"[.]jsx?$")
-    base = F.regexp_replace(F.regexp_replace(target, "/dist/", "/src/"), r"[.]jsx?$", "")
+    built = target.contains("/dist/") & target.rlike(r"\.jsx?$")
+    base = F.regexp_replace(F.regexp_replace(target, "/dist/", "/src/"), r"\.jsx?$", "")
     known = files.select(F.col("path").alias("_known")).distinct()
     ts, tsx = known.withColumnRenamed("_known", "_ts"), known.withColumnRenamed("_known", "_tsx")
     keyed = dependencies.withColumn("_one", F.when(built, F.concat(base, F.lit(".ts")))).withColumn("_two", F.when(built, F.concat(base, F.lit(".tsx"))))

@@ -22,6 +22,7 @@ class Config:
     logLevel: str = "error"
     excludePaths: list[str] = field(default_factory=lambda: ["fixtures/**", "**/fixtures/**", "vendor/**"])
     searchMinScore: float = 0.55
+    skipImportChunksInVectors: bool = False
 
     @classmethod
     def read(cls, text: str | None) -> Config:
@@ -46,6 +47,8 @@ class Config:
 def _fits(name: str, value: object, default: object) -> bool:
     if isinstance(default, str):
         return isinstance(value, str) and value != ""
+    if isinstance(default, bool):
+        return isinstance(value, bool)
     if isinstance(default, list):
         return isinstance(value, list) and all(isinstance(v, str) for v in value)
     if isinstance(value, bool) or not isinstance(value, (int, float)):

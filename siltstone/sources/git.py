@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import subprocess
+import tempfile
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.runtime import shared_dir
+
 
 @dataclass(frozen=True)
 class Changes:
@@ -109,6 +115,37 @@ def churn_by_file(root: str, days: int = 30) -> dict[str, int]:
     return parse_numstat(_git(root, "log", f"--since={max(1, days)} days ago", "--numstat", "--format=") or "")
 
 
+def numstat_churn(lines: DataFrame, col: str = "value") -> DataFrame:
+    """[AGG-4, SRC-8] (path, churn) from lines of ``git log --numstat``: lines added plus removed; binary files count 0, other
+    lines nothing."""
+    parts = F.split(col, "\t")
+    number = lambda i: F.coalesce(F.when(parts[i].rlike("^[0-9]+$"), parts[i]).cast("long"), F.lit(0))
+    rows = lines.where(F.size(parts) == 3).select(parts[2].alias("path"), (number(0) + number(1)).alias("churn"))
+    return rows.groupBy("path").agg(F.sum("churn").alias("churn"))
+
+
+def churn_table(spark: SparkSession, root: str, days: int = 30) -> DataFrame:
+    """(path, churn) of the last days; the log goes through a file of the shared folder, not through the plan."""
+    folder = tempfile.mkdtemp(prefix="siltstone-log-")
+    try:
+        local = os.path.join(folder, "numstat.txt")
+        with open(local, "w", encoding="utf-8") as f:
+            done = subprocess.run(["git", "-C", root, "log", f"--since={max(1, days)} days ago", "--numstat", "--format="], stdout=f, stderr=subprocess.DEVNULL, timeout=600)
+        if done.returncode:
+            return spark.createDataFrame([], "path string, churn long")
+        sc = spark.sparkContext
+        shared = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/numstat-{uuid.uuid4().hex}.txt")
+        shared.getFileSystem(sc._jsc.hadoopConfiguration()).copyFromLocalFile(sc._jvm.org.apache.hadoop.fs.Path(f"file://{local}"), shared)
+        return numstat_churn(spark.read.text(shared.toString()))
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def with_churn(files: DataFrame, churn: DataFrame, *, key: str = "path") -> DataFrame:
+    """[JOIN-13] ``files`` with churn, 0 for files that the log doesn't name."""
+    return files.join(churn.select(F.col("path").alias(key), "churn"), key, "left").withColumn("churn", F.coalesce("churn", F.lit(0)))
+
+
 def as_table(spark: SparkSession, changes: Changes) -> DataFrame:
     """(path, change)"""
     rows = [(p, k) for k in ("added", "modified", "deleted") for p in getattr(changes, k)]

@@ -13,6 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.runtime import materialize, release
 from siltstone.schemas import FILE_COLUMN, SNAPSHOTS, TABLES, read_status, stored_status
 from siltstone.sources.git import latest
 
@@ -53,6 +54,20 @@ def kept_snapshots(snapshots: DataFrame, keep: str | None, now_ms: int, *, spare
     return snapshots.where(chosen | young if spare_indexing else chosen)
 
 
+def schema_version(migrations: DataFrame) -> DataFrame:
+    """[AGG-11] (version): the greatest one applied, 0 where none is."""
+    return migrations.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def page(snapshots: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """[SRT-3] One page of a list of snapshots, newest first, ties by id."""
+    return snapshots.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
+
+
+#: The order in which each table is listed. [SRT-4]
+LISTED = {"files": ["path"], "chunks": ["file_path", "start_line"], "symbols": ["file_path", "name"], "dependencies": ["from_path", "to_specifier"]}
+
+
 class Store:
     """Tables under one folder of any file system that Spark reads."""
 
@@ -112,13 +127,29 @@ class Store:
         schema = TABLES[table]
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]).write.mode("append").partitionBy("project_id", "snapshot_id").parquet(self._path(table))
 
-    def read(self, table: str, project: str, snapshot: str) -> DataFrame:
-        """One snapshot's rows: one partition is read."""
+    def upsert(self, table: str, rows: DataFrame, keys: list[str]) -> None:
+        """[SNK-5] Rows replace those of their snapshots that have the same keys; only these snapshots' partitions are written anew."""
+        schema = TABLES[table]
+        rows = materialize(rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]), "upsert-new")
+        if not self._exists(self._path(table)):
+            self.write(table, rows)
+            return
+        parts = ["project_id", "snapshot_id"]
+        touched = rows.select(*parts).distinct()
+        old = self.spark.read.schema(schema).parquet(self._path(table)).join(F.broadcast(touched), parts, "left_semi").select(*schema.names)
+        merged = materialize(upsert(old, rows, [*parts, *keys]).select(*schema.names), "upsert-merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(self._path(table))
+        release(merged)
+        release(rows)
+
+    def read(self, table: str, project: str, snapshot: str, *, ordered: bool = False) -> DataFrame:
+        """One snapshot's rows: one partition is read. ``ordered``: in the table's listing order."""
         schema = TABLES[table]
         if not self._exists(self._path(table)):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).parquet(self._path(table))
-        return rows.where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot)).select(*schema.names)
+        rows = rows.where((F.col("project_id") == project) & (F.col("snapshot_id") == snapshot)).select(*schema.names)
+        return rows.orderBy(*LISTED.get(table, [])) if ordered and table in LISTED else rows
 
     def copy(self, project: str, old: str, new: str, gone: DataFrame, tables: Iterable[str] = tuple(FILE_COLUMN)) -> None:
         for table in tables:
@@ -130,6 +161,23 @@ class Store:
             self._delete(f"{self._path(table)}/project_id={project}/snapshot_id={snapshot}")
         self._update(snapshot, status="removed")
 
+    def list_snapshots(self, project: str, limit: int = 50, offset: int = 0) -> DataFrame:
+        """[SRT-3]"""
+        return page(self.snapshots().where(F.col("project_id") == project), limit, offset)
+
+    def fail_stale(self, project: str, *, now_ms: int | None = None) -> list[str]:
+        """[SNK-10] Mark the project's snapshots whose indexing has crashed as failed; returns their ids."""
+        mine = self.snapshots().where(F.col("project_id") == project)
+        crashed = mark_stale(mine, now_ms or int(time.time() * 1000)).where("status = 'failed'").join(mine.where("status = 'indexing'").select("id"), "id", "left_semi").collect()
+        for row in crashed:
+            self.set_status(row["id"], "failed", row["failure_reason"])
+        return [row["id"] for row in crashed]
+
+    def remove_project(self, project: str) -> None:
+        """[SNK-7] All snapshots of a project."""
+        for row in self.snapshots().where(F.col("project_id") == project).select("id").collect():
+            self.remove(project, row["id"])
+
     def clear(self, project: str, keep: str | None, *, spare_indexing: bool = True) -> list[str]:
         """[SNK-9] Remove the project's other snapshots; returns their ids."""
         mine = self.snapshots().where(F.col("project_id") == project)

@@ -8,6 +8,7 @@ import pytest
 from siltstone.engine import Engine
 from siltstone.plans import render
 from siltstone.sources.config import Config, Registry, project_root
+from siltstone.sources.files import scan_files
 from siltstone.sources.store import Store
 
 FILES = {
@@ -68,6 +69,52 @@ def test_index_query_change(spark, project, tmp_path):
     assert {r["what"]: r["n"] for r in engine.status().collect()}["files"] == 6
 
 
+def test_reads_see_changes_of_the_working_tree(spark, tmp_path):
+    root = tmp_path / "p"
+    (root / "src").mkdir(parents=True)
+    (root / "src/a.ts").write_text("import x from 'x';\n\nexport class Parser {\n  handle(text: string) {\n    return magicLink(text);\n  }\n}\n")
+    engine = Engine(spark, str(root), Store(spark, str(tmp_path / "store")), "demo", config=Config(skipImportChunksInVectors=True))
+    first = engine.index()
+    assert engine.refresh() == first, "nothing changed"
+    assert {r["chunk_type"] for r in engine.table("chunks").collect()} >= {"imports"} and "imports" not in {r["chunk_type"] for r in engine.table("vectors").collect()}
+    assert engine.search("magic link", min_score=0.0).collect()[0]["symbol"] == "handle", "told from the body"
+    (root / "src/b.ts").write_text("export function freshlyWritten() {}\n")
+    assert [r["name"] for r in engine.explain("freshlyWritten").collect()] == ["freshlyWritten"]
+    assert engine.store.latest_snapshot("demo") != first
+    (root / "src/b.ts").unlink()
+    assert "freshlyWritten" not in {r["name"] for r in engine.structure().collect()}
+    still = Engine(spark, str(root), engine.store, "demo", auto_refresh=False)
+    (root / "src/c.ts").write_text("export function unseen() {}\n")
+    assert still.explain("unseen").count() == 0
+
+
+def test_store_upserts_pages_and_crashed_runs(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    old, new = store.create_snapshot("p", now_ms=1000), store.create_snapshot("p", now_ms=10_000_000)
+    row = "project_id string, snapshot_id string, chunk_id string, file_path string, start_line int, end_line int, content_hash string, chunk_type string, primary_symbol string, embedding array<float>"
+    rows = lambda snapshot, *ids: spark.createDataFrame([("p", snapshot, i, f, 1, 2, h, "impl", None, [1.0]) for i, f, h in ids], row)
+    store.upsert("vectors", rows(old, ("a", "x", "1"), ("b", "y", "1")), ["chunk_id"])
+    store.upsert("vectors", rows(new, ("a", "x", "1")), ["chunk_id"])
+    store.upsert("vectors", rows(old, ("b", "y", "2"), ("c", "z", "1")), ["chunk_id"])
+    assert sorted((r["chunk_id"], r["content_hash"]) for r in store.read("vectors", "p", old).collect()) == [("a", "1"), ("b", "2"), ("c", "1")]
+    assert store.read("vectors", "p", new).count() == 1
+    assert store.fail_stale("p", now_ms=10_000_000 + 60_000) == [old]
+    assert {r["id"]: r["status"] for r in store.snapshots().collect()} == {old: "failed", new: "indexing"}
+    assert [r["id"] for r in store.list_snapshots("p", 1).collect()] == [new] and [r["id"] for r in store.list_snapshots("p", 5, 1).collect()] == [old]
+    store.remove_project("p")
+    assert store.snapshots().count() == 0 and store.read("vectors", "p", new).count() == 0
+
+
+def test_scan_leaves_ignored_folders_out(spark, tmp_path):
+    for name in ("a.ts", "node_modules/x.ts", "lib/node_modules/y.ts", "lib/b c.py", "lib/d.txt", "build/e.ts", "keep/f.rb"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    got = scan_files(spark, str(tmp_path), ignore_text="keep/\n")
+    assert {r["path"] for r in got.collect()} == {"a.ts", "lib/b c.py"}
+    listed = scan_files(spark, str(tmp_path), content=False)
+    assert {r["path"] for r in listed.collect()} == {"a.ts", "lib/b c.py", "keep/f.rb"} and listed.columns == ["path", "mtime_ms"]
+
+
 def test_failed_index_keeps_the_old_snapshot(spark, project, tmp_path):
     class Broken:
         size = 4

@@ -250,3 +250,67 @@ def test_dependents_of_links_of_any_length(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r["href"]: r["dependents"] for r in QUERIES["dependents_lookup_all"](spark, str(tmp_path)).collect()}
     assert got == {"/p": "a.org", "/long/path.html": "a.org,b.org"}
+
+
+def typescript_chunks(text, **sizes):
+    from siltstone.operators import extract as x
+
+    old = x._merge_segments
+    try:
+        x._merge_segments = lambda *given: old(*given, **sizes)
+        return x.read_typescript(text, "inline.ts").chunks
+    finally:
+        x._merge_segments = old
+
+
+def test_typescript_chunks_are_cut_and_merged():
+    preamble = 'import { readFile } from "node:fs/promises";\nimport path from "node:path";\ntype GitDiff = { added: string[]; };\ntype IndexPlan = { ready: boolean; };\nconst value = readFile;'
+    assert [c.chunk_type for c in typescript_chunks(preamble, target=200, most=200)] == ["preamble", "impl"]
+    body = "\n".join(f'  const line{i} = "{"x" * 24}{i:02d}";' for i in range(40))
+    cut = typescript_chunks("export function giantFunction() {\n" + body + "\n  return line0;\n}", target=30, most=40)
+    assert len(cut) > 1 and all(c.chunk_type == "impl" and -(-len(c.content) // 4) <= 40 for c in cut)
+    assert all(b.start_line <= a.end_line for a, b in zip(cut, cut[1:], strict=False)) and cut[-1].end_line == 43
+    small = "\n".join(f"const value{i} = {i};" for i in range(8))
+    (one,) = typescript_chunks(small, target=80, most=80)
+    assert (one.start_line, one.end_line) == (1, 8)
+    assert [(c.start_line, c.end_line) for c in typescript_chunks("\n".join(f"const v{i} = {i};" for i in range(100)), target=20, most=40)][:2] == [(1, 5), (6, 10)]
+    assert typescript_chunks("  \n\n", target=80, most=80) == []
+
+
+class Server:
+    """A model server in this process: answers /api/embed unless told not to."""
+
+    def __init__(self, refuse):
+        import json
+        import threading
+        from http.server import BaseHTTPRequestHandler, HTTPServer
+
+        asked = self.asked = []
+
+        class Handler(BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                asked.append((self.path, body.get("input") or body.get("prompt")))
+                code = refuse(self.path, body)
+                self.send_response(code)
+                self.end_headers()
+                answer = {"embeddings": [[1.0, 0.0] for _ in body["input"]]} if "input" in body else {"embedding": [0.0, 1.0]}
+                self.wfile.write(json.dumps(answer).encode() if code == 200 else b"{}")
+
+            def log_message(self, *_):
+                pass
+
+        self.server = HTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.server.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.server.server_port}"
+
+
+def test_model_server_fallbacks():
+    from siltstone.functions.embed import HttpProvider
+
+    old = Server(lambda path, body: 404 if path == "/api/embed" else 200)
+    assert HttpProvider(old.url, "m", 2).embed(["a", "b"]) == [[0.0, 1.0], [0.0, 1.0]]
+    assert old.asked == [("/api/embed", ["a", "b"]), ("/api/embeddings", "a"), ("/api/embeddings", "b")]
+    tight = Server(lambda path, body: 400 if len(body["input"][0]) > 300 else 200)
+    assert HttpProvider(tight.url, "m", 2, context=80).embed(["word " * 200]) == [[1.0, 0.0]]
+    assert len(tight.asked) > 1
