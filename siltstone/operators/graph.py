@@ -93,3 +93,8 @@ def subtree_counts(files: DataFrame, path_col: str = "path") -> DataFrame:
     below = paths.withColumn("folder", F.explode(ancestors(F.col("path"))))
     child = F.element_at(F.split("path", "/"), depth + 1)
     return below.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.countDistinct(child).alias("children"))
+
+
+def first_seen(rows: DataFrame, *, keys: list[str], at: str) -> DataFrame:
+    """[AGG-13] (keys, first_seen, n): the least ``at`` and the number of rows of each key."""
+    return rows.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.count(F.lit(1)).alias("n"))

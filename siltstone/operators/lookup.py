@@ -87,11 +87,19 @@ def structure(files: DataFrame, symbols: DataFrame, *, prefix: str | None = None
 
 
 def tree_budget(files: DataFrame, max_files: int, path_col: str = "path") -> DataFrame:
-    """[WIN-7] (folder, shown, hidden) with at most ``max_files`` files shown in each folder, in path order."""
+    """[WIN-7] (folder, shown, hidden): a tree is listed folders first, then files, both by name, and ``max_files`` files are shown in
+    all; each folder's own files count.
+
+    The running number is taken over one row a folder, in the order in which the folders' own files are listed (a folder after all
+    those below it); files are never brought into one order.
+    """
     folder = F.regexp_extract(F.col(path_col), r"^(.*)/[^/]*$", 1)
-    place = F.row_number().over(Window.partitionBy("folder").orderBy(path_col))
-    ranked = files.select(folder.alias("folder"), F.col(path_col)).withColumn("place", place)
-    return ranked.groupBy("folder").agg(F.count_if(F.col("place") <= max_files).alias("shown"), F.count_if(F.col("place") > max_files).alias("hidden"))
+    counts = files.groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    last = F.array(F.lit("\uffff"))  # after every name below
+    listed = F.when(F.col("folder") == "", last).otherwise(F.concat(F.split("folder", "/"), last))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("listed").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shown = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(max_files) - F.col("before")))
+    return counts.withColumn("listed", listed).withColumn("before", before).select("folder", shown.alias("shown"), (F.col("n") - shown).alias("hidden"))
 
 
 def language_counts(files: DataFrame, col: str = "language_id") -> DataFrame:

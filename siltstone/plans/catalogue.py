@@ -225,17 +225,9 @@ def dependency_map(spark: SparkSession, sf: str) -> DataFrame:
     return graph.targets_of(graph.contract(_link_dependencies(spark, sf))).withColumn("targets", F.array_join("targets", ","))
 
 
-@query(f"WITH {_LINKS} SELECT l.href, string_agg(DISTINCT l.module, ',' ORDER BY l.module) AS dependents FROM links l WHERE length(l.href) <= 5 GROUP BY l.href")
+@query(f"WITH {_LINKS} SELECT href, string_agg(DISTINCT module, ',' ORDER BY module) AS dependents FROM links GROUP BY href")
 def dependents_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """JOIN-8: the files that need each target"""
-    links = _links(spark, sf)
-    targets = links.where("length(href) <= 5").select("href").distinct()
-    return links.join(targets, "href", "left_semi").groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("dependents"))
-
-
-@query(f"WITH {_LINKS} SELECT href, string_agg(DISTINCT module, ',' ORDER BY module) AS dependents FROM links GROUP BY href")
-def dependents_lookup_all(spark: SparkSession, sf: str) -> DataFrame:
-    """JOIN-8 for every link; ``dependents_lookup`` and its SQL answer for hrefs of at most five characters."""
     return _links(spark, sf).groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("dependents"))
 
 
@@ -518,9 +510,9 @@ def name_search_rank(spark: SparkSession, sf: str) -> DataFrame:
 SELECT p_partkey, name_rank FROM (SELECT r.*, least, row_number() OVER (ORDER BY name_rank, p_partkey) AS place FROM r, g) WHERE (least = 0 AND name_rank = 0) OR (least > 0 AND place <= 5)""")
 def exact_match_gate(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-5: all exact matches, else the first five"""
-    rows = load(spark, sf, "part").select("p_partkey", F.when(F.col("p_partkey") % 500 == 0, 0).otherwise(3).alias("name_rank"))
-    exact = rows.where("name_rank = 0")
-    return exact if not exact.isEmpty() else rows.orderBy("name_rank", "p_partkey").limit(5)
+    n = F.col("p_partkey")
+    rows = load(spark, sf, "part").select(F.lpad(n.cast("string"), 12, "0").alias("file_path"), n.alias("p_partkey"), F.when(n % 500 == 0, "Target").otherwise("aTarget").alias("name"), F.lit("class").alias("kind"), F.lit(1).alias("start_line"))
+    return lookup.find_symbols(rows, "Target").select("p_partkey", "name_rank")
 
 
 @query(r"SELECT p_partkey, string_split(regexp_replace('part' || upper(p_name[1]) || p_name[2:], '([a-z])([A-Z])', '\1 \2', 'g'), ' ')[1] AS head FROM part")
@@ -547,16 +539,18 @@ _TEST_PATHS = ["src/a.ts", "src/a.test.ts", "src/__tests__/a.ts", "tests/a.py",
 
 
 @query(
-    "SELECT path, "
+    f"WITH {_PATHS} SELECT path, "
     + " OR ".join([f"regexp_matches(path, '{text.TEST_FOLDERS}')", *[f"(ends_with(path, '{e}') AND regexp_matches(path, '{p}'))" for e, p in text.TEST_NAMES.items()]])
     + f" AS is_test_file, regexp_matches(lower(path), '{text.TEST_PATH}') AS is_test_path FROM (VALUES "
     + ", ".join(f"('{p}')" for p in _TEST_PATHS)
-    + ") v(path)"
+    + " UNION ALL SELECT DISTINCT host || '/test/' || path FROM paths WHERE page_id % 2 = 0 UNION ALL SELECT DISTINCT host || '/' || path FROM paths WHERE page_id % 2 = 1) v(path)"
 )
 def test_path_flags(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-6, FLT-7"""
-    path = F.col("path")
-    return spark.createDataFrame([(p,) for p in _TEST_PATHS], "path string").select("path", text.is_test_file(path).alias("is_test_file"), text.is_test_path(path).alias("is_test_path"))
+    """FLT-6, FLT-7: names of each rule, and all pages' paths, every second one under a test folder"""
+    path, even = F.col("path"), F.col("page_id") % 2 == 0
+    pages = _page_paths(spark, sf).select(F.concat("host", F.when(even, "/test/").otherwise("/"), "path").alias("path"), even.alias("even")).distinct().select("path")
+    rows = spark.createDataFrame([(p,) for p in _TEST_PATHS], "path string").unionByName(pages)
+    return rows.select("path", text.is_test_file(path).alias("is_test_file"), text.is_test_path(path).alias("is_test_path"))
 
 
 @query(rf"WITH {_PATHS} SELECT page_id, list_contains(string_split(path, '/'), 'de') OR len(list_filter(string_split(path, '/'), lambda s: regexp_matches(s, '^.*[.]html$'))) > 0 AS ignored FROM paths")
@@ -584,13 +578,14 @@ _SPECIFIERS = [("node:fs", "a.ts"), ("path", "a.ts"), ("react", "a.ts"), ("fs/pr
 
 
 @query(
-    "SELECT spec AS to_specifier, path AS from_path, CASE WHEN starts_with(spec, './') THEN 'internal' WHEN starts_with(spec, 'node:') OR (path LIKE 'a.ts%' AND string_split(spec, '/')[1] IN ('fs', 'path')) OR (path = 'a.py' AND string_split(spec, '.')[1] = 'os') OR (path = 'a.rb' AND spec = 'json') THEN 'builtin' ELSE 'external' END AS dependency_type FROM (VALUES "
+    "SELECT spec AS to_specifier, path AS from_path, CASE WHEN starts_with(spec, '.') THEN 'internal' WHEN starts_with(spec, 'node:') OR (path LIKE 'a.ts%' AND string_split(spec, '/')[1] IN ('fs', 'path')) OR (path = 'a.py' AND string_split(spec, '.')[1] = 'os') OR (path = 'a.rb' AND spec = 'json') THEN 'builtin' ELSE 'external' END AS dependency_type FROM (VALUES "
     + ", ".join(f"('{s}', '{p}')" for s, p in _SPECIFIERS)
-    + ") v(spec, path)"
+    + f" UNION ALL (WITH {_LINKS} SELECT DISTINCT href, 'a.ts' FROM links)) v(spec, path)"
 )
 def builtin_external_split(spark: SparkSession, sf: str) -> DataFrame:
-    """RES-TS, RES-PY, RES-CS, RES-GD, RES-RB"""
-    imports = spark.createDataFrame(_SPECIFIERS, "to_specifier string, from_path string")
+    """RES-TS, RES-PY, RES-CS, RES-GD, RES-RB: specifiers of each rule, and all links of the pages as specifiers of one file"""
+    links = _links(spark, sf).select(F.col("href").alias("to_specifier"), F.lit("a.ts").alias("from_path")).distinct()
+    imports = spark.createDataFrame(_SPECIFIERS, "to_specifier string, from_path string").unionByName(links)
     return resolve.resolve(imports, spark.createDataFrame([("b.ts",)], "path string")).select("to_specifier", "from_path", "dependency_type")
 
 
@@ -602,11 +597,12 @@ def tree_subtree_counts(spark: SparkSession, sf: str) -> DataFrame:
     return graph.subtree_counts(_page_paths(spark, sf).select(F.concat_ws("/", "host", "path").alias("path")))
 
 
-@query(rf"""WITH {_PATHS}, r AS (SELECT regexp_extract(p, '^(.*)/[^/]*$', 1) AS folder, row_number() OVER (PARTITION BY regexp_extract(p, '^(.*)/[^/]*$', 1) ORDER BY p) AS place FROM (SELECT host || '/' || path AS p FROM paths))
-SELECT folder, count(*) FILTER (WHERE place <= 3) AS shown, count(*) FILTER (WHERE place > 3) AS hidden FROM r GROUP BY folder""")
+@query(rf"""WITH {_PATHS}, c AS (SELECT regexp_extract(p, '^(.*)/[^/]*$', 1) AS folder, count(*) AS n FROM (SELECT host || '/' || path AS p FROM paths) GROUP BY 1),
+o AS (SELECT folder, n, coalesce(sum(n) OVER (ORDER BY list_append(CASE WHEN folder = '' THEN [] ELSE string_split(folder, '/') END, chr(65535)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT folder, CAST(greatest(0, least(n, 150 - before)) AS BIGINT) AS shown, CAST(n - greatest(0, least(n, 150 - before)) AS BIGINT) AS hidden FROM o""")
 def tree_order_budget(spark: SparkSession, sf: str) -> DataFrame:
     """WIN-7"""
-    return lookup.tree_budget(_page_paths(spark, sf).select(F.concat_ws("/", "host", "path").alias("path")), 3)
+    return lookup.tree_budget(_page_paths(spark, sf).select(F.concat_ws("/", "host", "path").alias("path")), 150)
 
 
 @query(rf"""WITH {_PATHS}, p AS (SELECT DISTINCT 'apps/' || host || '/src/' || CASE page_id % 4 WHEN 0 THEN 'main.ts' WHEN 1 THEN 'index.js' WHEN 2 THEN 'dist/cli.ts' ELSE 'util.ts' END AS path FROM paths),
@@ -627,13 +623,14 @@ def path_normalise(spark: SparkSession, sf: str) -> DataFrame:
     return _page_paths(spark, sf).select("page_id", text.normalize_path(F.concat(F.lit("./"), F.col("host"), F.lit("\\x/./../"), F.col("path"))).alias("path"))
 
 
-@query("""WITH d AS (SELECT l_orderkey AS k, 'p/dist/f' || l_orderkey || '.js' AS t FROM lineitem WHERE l_linenumber = 1), s AS (SELECT 'p/src/f' || o_orderkey || CASE WHEN o_orderkey % 2 = 0 THEN '.ts' ELSE '.tsx' END AS path FROM orders WHERE o_orderkey % 3 <> 0)
-SELECT k, coalesce(a.path, b.path, t) AS to_path FROM d LEFT JOIN s a ON a.path = replace(replace(t, '/dist/', '/src/'), '.js', '.ts') LEFT JOIN s b ON b.path = replace(replace(t, '/dist/', '/src/'), '.js', '.tsx')""")
+@query("""WITH d AS (SELECT l_orderkey AS k, l_linenumber AS line, 'p/dist/f' || l_orderkey || '.js' AS t FROM lineitem), s AS (SELECT 'p/src/f' || o_orderkey || CASE o_orderkey % 3 WHEN 0 THEN '.mts' WHEN 1 THEN '.ts' ELSE '.tsx' END AS path FROM orders)
+SELECT k, line, coalesce(a.path, b.path, t) AS to_path FROM d LEFT JOIN s a ON a.path = replace(replace(t, '/dist/', '/src/'), '.js', '.ts') LEFT JOIN s b ON b.path = replace(replace(t, '/dist/', '/src/'), '.js', '.tsx')""")
 def dist_to_source(spark: SparkSession, sf: str) -> DataFrame:
-    """PRJ-7"""
-    deps = load(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("k"), F.concat(F.lit("p/dist/f"), F.col("l_orderkey"), F.lit(".js")).alias("to_path"))
-    files = load(spark, sf, "orders").where("o_orderkey % 3 <> 0").select(F.concat(F.lit("p/src/f"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, ".ts").otherwise(".tsx")).alias("path"))
-    return resolve.canonical_source(deps, files).select("k", "to_path")
+    """PRJ-7: a third of the files has an ending that is not looked for"""
+    key = F.col("o_orderkey")
+    deps = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.concat(F.lit("p/dist/f"), F.col("l_orderkey"), F.lit(".js")).alias("to_path"))
+    files = load(spark, sf, "orders").select(F.concat(F.lit("p/src/f"), key, F.when(key % 3 == 0, ".mts").when(key % 3 == 1, ".ts").otherwise(".tsx")).alias("path"))
+    return resolve.canonical_source(deps, files).select("k", "line", "to_path")
 
 
 @query(rf"""WITH {_DEPENDENCIES}, f AS (SELECT DISTINCT from_path AS path FROM dep) SELECT CASE WHEN strpos(path, '/') = 0 THEN 'root' ELSE array_to_string(string_split(path, '/')[1:2], '/') END AS module, count(*) AS files FROM f WHERE NOT regexp_matches(path, '^.*/de/.*$') GROUP BY 1""")
@@ -659,17 +656,21 @@ def tpch_q3_like(spark: SparkSession, sf: str) -> DataFrame:
 # --- without SQL twins -------------------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT event_id, user_id, event_type, round(value, 6) AS value, epoch_us(ts) AS ts_us FROM events")
 def streaming_ingest(spark: SparkSession, sf: str) -> DataFrame:
     """INC-1, INC-2: a file source read to its end, appended exactly once"""
     here = f"{shared_dir(spark)}/stream-{os.urandom(8).hex()}"
     schema = load(spark, sf, "events").schema
     load(spark, sf, "events").write.parquet(f"{here}/in")
     ingest.ingest(spark, f"{here}/in", schema, f"{here}/out", f"{here}/state").awaitTermination()
-    return spark.read.schema(schema).parquet(f"{here}/out")
+    out = spark.read.schema(schema).parquet(f"{here}/out")
+    return out.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
 
 
 @query()
 def embed_hash(spark: SparkSession, sf: str) -> DataFrame:
     """VEC-1, VEC-5: whole texts; trimming is for a provider whose context overflows (VEC-4)."""
     return embed(load(spark, sf, "documents").select("doc_id", "text"), HashingProvider(64), text_col="text").select("doc_id", "embedding")
+
+
+from siltstone.plans import code_queries  # noqa: E402, F401  registers its queries here

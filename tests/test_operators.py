@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.operators import architecture, attribute, chunk, graph, lookup, resolve, vector
 from siltstone.operators.extract import entry_points, extract, function_chunks, parse_file
 from siltstone.operators.search import search
+from siltstone.plans import render
 from siltstone.plans.catalogue import QUERIES
 from siltstone.sources import git, ignore, store
 
@@ -248,7 +249,7 @@ def test_attribution_top_one_is_stable(spark):
 def test_dependents_of_links_of_any_length(spark, tmp_path):
     pages = [(1, "http://a.org/x", '<a href="/p"><a href="/long/path.html">'), (2, "http://b.org/y", '<a href="/long/path.html">'), (3, "http://c.org/", "none")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = {r["href"]: r["dependents"] for r in QUERIES["dependents_lookup_all"](spark, str(tmp_path)).collect()}
+    got = {r["href"]: r["dependents"] for r in QUERIES["dependents_lookup"](spark, str(tmp_path)).collect()}
     assert got == {"/p": "a.org", "/long/path.html": "a.org,b.org"}
 
 
@@ -314,3 +315,16 @@ def test_model_server_fallbacks():
     tight = Server(lambda path, body: 400 if len(body["input"][0]) > 300 else 200)
     assert HttpProvider(tight.url, "m", 2, context=80).embed(["word " * 200]) == [[1.0, 0.0]]
     assert len(tight.asked) > 1
+
+
+def test_file_budget_is_the_renderer_s(spark):
+    paths = ["z.ts", "a/d.ts", "a/b/c/x.ts", "a/b/c/y.ts", "a/b.ts", "k/l.ts", "a.ts"]
+    for most in (0, 1, 3, 4, 6, 100):
+        lines = render.tree_lines(render.build_tree(paths), max_files=most)
+        got = lookup.tree_budget(spark.createDataFrame([(p,) for p in paths], "path string"), most).collect()
+        shown = [line.strip() for line in lines if line.strip().endswith(".ts")]
+        assert sum(r["shown"] for r in got) == len(shown) and sum(r["shown"] + r["hidden"] for r in got) == len(paths)
+        want = {}
+        for p in ["a/b/c/x.ts", "a/b/c/y.ts", "a/b.ts", "a/d.ts", "k/l.ts", "a.ts", "z.ts"][:most]:
+            want[p.rpartition("/")[0]] = want.get(p.rpartition("/")[0], 0) + 1
+        assert {r["folder"]: r["shown"] for r in got if r["shown"]} == want
