@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as JavaScript's trim sees it.
-SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+SPACES = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 # Words that carry no meaning in names.
 STOP_WORDS = ("a", "an", "and", "for", "get", "has", "is", "of", "on", "or", "set", "the", "to")
@@ -60,13 +60,13 @@ KIND_ORDER = ("class", "function", "method", "interface", "type")
 
 
 def trimmed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def hash_text(text: Column) -> Column:
     """[FN-1] SHA-256 of the text with line ends made LF, byte order marks and trailing white space removed."""
-    unix = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "﻿", "")
-    return F.sha2(F.regexp_replace(unix, rf"{SPACE}+\z", ""), 256)
+    unix = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\ufeff"), F.lit(""))
+    return F.sha2(F.rtrim(unix, F.lit(SPACES)), 256)
 
 
 def token_estimate(text: Column) -> Column:
