@@ -239,6 +239,23 @@ def line_slice(content: Column, start: Column, end: Column) -> Column:
     return F.when(last >= first, F.array_join(F.slice(lines, first, last - first + 1), "\n")).otherwise("")
 
 
+def locale_order(path: Column) -> Column:
+    """[SRT-5] The path as a sort key in the order of the Unicode collation, as file lists are shown: letter case decides last."""
+    return F.collate(path, "UNICODE")
+
+
+def parse_version(version: str) -> tuple[int, int, int] | None:
+    """[FN-16] Major, minor and patch of ``1.2.3``; None for anything else."""
+    found = re.fullmatch(r"\s*(\d+)\.(\d+)\.(\d+)\s*", version)
+    return tuple(int(g) for g in found.groups()) if found else None
+
+
+def newer_version(a: str, b: str) -> bool:
+    """[FN-16] Whether ``a`` is a later version than ``b``; false where either isn't one."""
+    x, y = parse_version(a), parse_version(b)
+    return bool(x and y and x > y)
+
+
 def signature(text: Column) -> Column:
     """[PRJ-5] The first line of the trimmed text."""
     return trimmed(F.element_at(F.split(trimmed(text), r"\r?\n", -1), 1))

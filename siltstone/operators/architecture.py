@@ -21,13 +21,17 @@ class Architecture:
 
     file_stats: DataFrame  # language, files
     entry_points: DataFrame  # path, language_id, score
-    modules: DataFrame  # module, files
+    modules: DataFrame  # module, path: a row a file
     edges: DataFrame  # bucket, from_module, target
     cycles: DataFrame  # low, high
 
     def dependency_map(self) -> DataFrame:
         return graph.targets_of(self.edges)
 
+    def module_sizes(self) -> DataFrame:
+        """[AGG-8] (module, files): how many files each module has."""
+        return self.modules.groupBy("module").agg(F.count(F.lit(1)).alias("files"))
+
     def summary(self) -> DataFrame:
         return graph.target_usage(self.edges)
 
@@ -38,7 +42,7 @@ def summarise(files: DataFrame, dependencies: DataFrame, *, excludes: Sequence[s
     kept, edges = graph.without(files, dependencies, excludes)
     edges = canonical_source(edges, files)
     module_edges = graph.contract(edges)
-    modules = kept.groupBy(module_key(F.col("path")).alias("module")).agg(F.array_sort(F.collect_set("path")).alias("files"))
+    modules = kept.select(module_key(F.col("path")).alias("module"), "path").distinct()
     inner = module_edges.where("bucket = 'internal'")
     return Architecture(language_counts(kept), entry_points(kept), modules, module_edges, graph.mutual_edges(inner, src="from_module", dst="target"))
 

@@ -80,7 +80,7 @@ def knn_graph(vectors: DataFrame, k: int, *, id_col: str = "vec_id", vector_col:
 
     Vectors are dealt into blocks by a hash; each pair of (query block, block) is one matrix product in one task and gives at
     most k rows a query, which a window cuts to k over all blocks. ``queries`` (a condition) restricts the query side. Vectors
-    that are null, empty or not finite are left out.
+    that are null, empty or not finite are left out; all others have one length.
     """
     ship(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), (queries if queries is not None else F.lit(True)).alias("asks"))
@@ -112,21 +112,29 @@ def _nearest(k: int, digits: int):
             far.append(value[row, col])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (src, dst, far)], ["src", "dst", "distance"])
 
-    def unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
-        v = np.array([r[1] for r in rows])
-        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), np.array([r[0] for r in rows], np.int64)
+    def unit(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        ids, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asking, asked = None, [], []
+        key, sides = None, ([], [])  # those asked, those asking
         for batch in batches:
-            for q, b, asks, i, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if key is not None and (q, b) != key:
-                    if asking and asked:
-                        yield solve(*unit(asking), *unit(asked))
-                    asking, asked = [], []
-                key = (q, b)
-                (asking if asks else asked).append((i, v))
-        if asking and asked:
-            yield solve(*unit(asking), *unit(asked))
+            if not batch.num_rows:
+                continue
+            q, b, ids = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            asks = batch.column(2).to_numpy(zero_copy_only=False)
+            vectors = batch.column(4).flatten().to_numpy().reshape(batch.num_rows, -1)
+            edges = np.flatnonzero((q[1:] != q[:-1]) | (b[1:] != b[:-1])) + 1
+            for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                if key != (q[start], b[start]):
+                    if all(sides):
+                        yield solve(*unit(sides[1]), *unit(sides[0]))
+                    key, sides = (q[start], b[start]), ([], [])
+                for asking in (False, True):
+                    own = asks[start:end] == asking
+                    if own.any():
+                        sides[asking].append((ids[start:end][own], vectors[start:end][own]))
+        if all(sides):
+            yield solve(*unit(sides[1]), *unit(sides[0]))
 
     return run

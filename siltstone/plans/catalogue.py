@@ -639,7 +639,7 @@ def architecture_modules(spark: SparkSession, sf: str) -> DataFrame:
     deps = _link_dependencies(spark, sf)
     files = deps.select(F.col("from_path").alias("path")).distinct().withColumn("language_id", F.lit("html"))
     made = architecture.summarise(files, deps, excludes=["**/de/**"])
-    return made.modules.select("module", F.size("files").cast("long").alias("files"))
+    return made.module_sizes()
 
 
 @query("""SELECT o_orderkey, o_orderdate, o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey

@@ -58,6 +58,31 @@ def _fits(name: str, value: object, default: object) -> bool:
     return isinstance(value, int) and value > 0
 
 
+def read_options(given: dict[str, str | None], config: Config | None = None) -> dict[str, float | int | None]:
+    """[FN-15] Options of the queries from their texts: min_score (0 to 1, else an error; the configured one if not given), max_depth
+    (0 or more) and max_files (1 or more; none if not given), depth (brought into 1 to 5)."""
+
+    def number(name: str, kind: type, fine) -> float | int | None:
+        text = given.get(name)
+        if not text:
+            return None
+        try:
+            value = kind(text)
+        except ValueError:
+            value = None
+        if value is None or not fine(value):
+            raise ValueError(f"{name}: {text!r} is out of range")
+        return value
+
+    least = number("min_score", float, lambda v: 0 <= v <= 1)
+    return {
+        "min_score": (config or Config()).searchMinScore if least is None else least,
+        "max_depth": number("max_depth", int, lambda v: v >= 0),
+        "max_files": number("max_files", int, lambda v: v > 0),
+        "depth": max(1, min(5, number("depth", int, lambda v: True) or 1)),
+    }
+
+
 def project_root(start: str, marker: str = ".siltstone/config.json") -> str | None:
     """The nearest folder at or above ``start`` with the marker, else with ``.git``."""
     folder = os.path.abspath(start)

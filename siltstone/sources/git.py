@@ -164,3 +164,27 @@ def compare_versions(old: DataFrame, new: DataFrame, *, key: str, value: str) ->
 def latest(rows: DataFrame, *, keys: list[str], order: list) -> DataFrame:
     """[WIN-1] The first row of each key in an order."""
     return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_place = 1").drop("_place")
+
+
+#: Lines that mark this engine's part of a hook.
+HOOK_START, HOOK_END = "# >>> siltstone >>>", "# <<< siltstone <<<"
+
+
+def install_hook(root: str, command: str) -> bool:
+    """[INC-4] Let git run ``command`` in the background after each commit. An own hook is kept and added to; a second call changes
+    nothing, nor does one outside of a repository. Returns whether the hook was written."""
+    folder = os.path.join(root, ".git")
+    if not os.path.isdir(folder):
+        return False
+    path = os.path.join(folder, "hooks", "post-commit")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    old = "#!/bin/sh\n"
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as f:
+            old = f.read()
+    if HOOK_START in old:
+        return False
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"{old.rstrip(chr(10))}\n\n{HOOK_START}\nnohup sh -c '{command}' > /dev/null 2>&1 &\n{HOOK_END}\n")
+    os.chmod(path, 0o755)
+    return True

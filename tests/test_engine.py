@@ -7,7 +7,7 @@ import pytest
 
 from siltstone.engine import Engine
 from siltstone.plans import render
-from siltstone.sources.config import Config, Registry, project_root
+from siltstone.sources.config import Config, Registry, project_root, read_options
 from siltstone.sources.files import scan_files
 from siltstone.sources.store import Store
 
@@ -153,3 +153,11 @@ def test_rendering():
     many = {f"packages/shared/components/{n}": "" for n in ("one.ts", "two.ts", "three.ts")}
     assert render.grouped(many)[0] == "packages/shared/components/"
     assert render.grouped({"a": "", "b": ""}) == ["a", "b"]
+
+
+def test_options():
+    assert read_options({}) == {"min_score": 0.55, "max_depth": None, "max_files": None, "depth": 1}
+    assert read_options({"min_score": "0.2", "max_depth": "0", "max_files": "3", "depth": "9"}, Config(searchMinScore=0.1)) == {"min_score": 0.2, "max_depth": 0, "max_files": 3, "depth": 5}
+    for bad in ({"min_score": "2"}, {"min_score": "nan"}, {"max_depth": "-1"}, {"max_files": "0"}, {"max_files": "x"}):
+        with pytest.raises(ValueError, match="out of range"):
+            read_options(bad)

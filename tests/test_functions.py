@@ -119,3 +119,10 @@ def test_embed_hash_takes_whole_texts(spark, tmp_path):
                 out[h % 64] += weight if h >> 63 else -weight
         norm = math.sqrt(sum(x * x for x in out))
         assert got[i] == pytest.approx([x / norm for x in out], abs=1e-6)
+
+
+def test_versions_and_locale_order(spark):
+    assert text.parse_version("1.20.3") == (1, 20, 3) and text.parse_version("1.2") is None and text.parse_version("a.b.c") is None
+    assert text.newer_version("1.10.0", "1.9.9") and not text.newer_version("1.0.0", "1.0.0") and not text.newer_version("x", "1.0.0")
+    rows = spark.createDataFrame([(p,) for p in ["b.ts", "A.ts", "a.ts", "B.ts", "\u00e4.ts", "z.ts"]], "path string")
+    assert [r["path"] for r in rows.orderBy(text.locale_order(F.col("path"))).collect()] == ["a.ts", "A.ts", "\u00e4.ts", "b.ts", "B.ts", "z.ts"]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,3 +329,28 @@ def test_file_budget_is_the_renderer_s(spark):
         for p in ["a/b/c/x.ts", "a/b/c/y.ts", "a/b.ts", "a/d.ts", "k/l.ts", "a.ts", "z.ts"][:most]:
             want[p.rpartition("/")[0]] = want.get(p.rpartition("/")[0], 0) + 1
         assert {r["folder"]: r["shown"] for r in got if r["shown"]} == want
+
+
+def test_commit_hook_is_added_once(tmp_path):
+    assert not git.install_hook(str(tmp_path), "x")
+    (tmp_path / ".git" / "hooks").mkdir(parents=True)
+    hook = tmp_path / ".git" / "hooks" / "post-commit"
+    hook.write_text("#!/bin/sh\necho mine\n")
+    assert git.install_hook(str(tmp_path), "siltstone index") and not git.install_hook(str(tmp_path), "siltstone index")
+    assert hook.read_text().startswith("#!/bin/sh\necho mine\n") and hook.read_text().count("siltstone index") == 1 and hook.stat().st_mode & 0o111
+
+
+def test_neighbours_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 5))
+    rows = [(i, v[i].tolist()) for i in range(60)] + [(100, None), (101, []), (102, [float("nan")] * 5)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = np.round(1 - unit @ unit.T, 9)
+    np.fill_diagonal(far, np.inf)
+    want = {(i, int(j), r + 1) for i in range(60) for r, j in enumerate(np.argsort(far[i], kind="stable")[:4])}
+    for block in (7, 1000):
+        got = vector.knn_graph(frame, 4, block_rows=block).collect()
+        assert {(r["src"], r["dst"], r["rank"]) for r in got} == want
+    asked = vector.knn_graph(frame, 4, block_rows=7, queries=F.col("vec_id") % 10 == 0)
+    assert {(r["src"], r["dst"], r["rank"]) for r in asked.collect()} == {w for w in want if w[0] % 10 == 0}
