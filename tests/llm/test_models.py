@@ -220,6 +220,16 @@ def test_pages_frame(spark):
     assert sorted((r["page_id"], len(r["main_text"]) > 20) for r in got) == [(1, True), (1, True), (2, False), (3, False)]
 
 
+def test_page_query_on_a_fixture(spark, tmp_path):
+    tail = " ".join(f"word{i}" for i in range(3000))
+    long = PAGE.replace("Second one is a longer paragraph.", f"Second one is a longer paragraph. {tail}")
+    rows = [(1, "u", PAGE), (2, "v", long), (3, None, None), (4, "w", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["url"], r["text"], r["n_chars"]) for r in queries.op8_html_extract(spark, str(tmp_path)).collect()}
+    text = "Ti&tle First boldly said. Then more <x> \u00a9 Second one is a longer paragraph."
+    assert got == {1: ("u", text, len(text)), 2: ("v", f"{text} {tail}", len(text) + 1 + len(tail)), 3: (None, "", 0), 4: ("w", "", 0)}
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_real_pages_match_the_article(spark):
     pages = queries.op8_html_extract(spark, "/root/testdata/sf0.01").collect()

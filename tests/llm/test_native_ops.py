@@ -330,6 +330,14 @@ def test_shard_query_against_the_contract(spark, tmp_path):
     assert {(r["shard"], r["slot"]) for r in got.values()} == {(s, i) for s, n in placed.items() for i in range(n)}
 
 
+def test_next_document_by_ids_of_other_kinds(spark):
+    for kind, ids in (("string", ["b", "", "a'\\\"é", "aa", "z", None]), ("long", [2**63 - 1, -(2**63), 0, 2**53 + 1, 2**53, None]), ("int", [3, 1, 2, 7, 5, None])):
+        docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], f"doc_id {kind}, text string")
+        got = {r["text"]: r["nxt"] for r in fingerprint.with_next(docs, lambda t, n: {"nxt": n}, {}, range_bytes=1).collect()}
+        order = sorted(range(len(ids)), key=lambda n: (ids[n] is not None, ids[n].encode() if kind == "string" and ids[n] is not None else ids[n] or 0))
+        assert got == {f"text {a}": f"text {b}" for a, b in zip(order, order[1:] + order[:1], strict=True)}, kind
+
+
 def test_crc_and_water_filling_helpers():
     assert zlib.crc32("é".encode()) == 3346413315 or zlib.crc32("é".encode()) > 0
     assert water([10, 10, 10], [1, 1, 1]) == [10.0, 10.0, 10.0]
