@@ -90,8 +90,7 @@ class Engine:
             if n == 0:
                 return old
             full = n > FULL_REINDEX
-        snapshot = self.store.create_snapshot(self.project, git.head_commit(self.root))
-        try:
+        with self.store.transaction(self.project, git.head_commit(self.root)) as snapshot:
             if old and not full:
                 self.store.copy(self.project, old, snapshot, changes)
                 changed = now.join(changes.where("change <> 'deleted'").select("path"), "path", "left_semi")
@@ -99,10 +98,6 @@ class Engine:
                 changed = now
             done = self._write(snapshot, changed, now.select("path"))
             self.store.set_progress(snapshot, done, done)
-            self.store.set_status(snapshot, "completed")
-        except Exception as e:
-            self.store.set_status(snapshot, "failed", str(e)[:500])
-            raise
         self.store.clear(self.project, snapshot)
         return snapshot
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +110,20 @@ class Store:
             raise KeyError(snapshot)
         self._log(row.asDict() | values)
 
+    @contextmanager
+    def transaction(self, project: str, git_ref: str | None = None) -> Iterator[str]:
+        """[SNK-11] A new snapshot to write to. What is written is seen by readers from the end of the block on, all of it at once; if
+        the block fails, the rows are removed, the snapshot is marked as failed with the reason, and the error goes on."""
+        snapshot = self.create_snapshot(project, git_ref)
+        try:
+            yield snapshot
+        except BaseException as e:
+            for table in TABLES:
+                self._delete(f"{self._path(table)}/project_id={project}/snapshot_id={snapshot}")
+            self.set_status(snapshot, "failed", str(e)[:500])
+            raise
+        self.set_status(snapshot, "completed")
+
     def set_status(self, snapshot: str, status: str, reason: str | None = None) -> None:
         self._update(snapshot, status=stored_status(status), failure_reason=reason)
 

@@ -9,6 +9,7 @@ from siltstone.engine import Engine
 from siltstone.plans import render
 from siltstone.sources.config import Config, Registry, project_root, read_options
 from siltstone.sources.files import scan_files
+from siltstone.sources.log import log_to
 from siltstone.sources.store import Store
 
 FILES = {
@@ -161,3 +162,28 @@ def test_options():
     for bad in ({"min_score": "2"}, {"min_score": "nan"}, {"max_depth": "-1"}, {"max_files": "0"}, {"max_files": "x"}):
         with pytest.raises(ValueError, match="out of range"):
             read_options(bad)
+
+
+def test_log_keeps_its_last_lines(tmp_path, capsys):
+    logger = log_to(str(tmp_path), "info", "test")
+    for i in range(130):
+        logger.info("line %d", i)
+    logger.debug("not this one")
+    lines = (tmp_path / "log.txt").read_text().splitlines()
+    assert len(lines) == 100 and lines[0].endswith("[test] [INFO] line 30") and lines[-1].endswith("line 129")
+    log_to(str(tmp_path / "gone"), "odd", "test").error("to the console")
+    assert "to the console" in capsys.readouterr().out
+
+
+def test_transaction_is_seen_whole_or_not_at_all(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    rows = lambda s, *paths: spark.createDataFrame([("p", s, x, "h", 0, 1, "python") for x in paths], "project_id string, snapshot_id string, path string, sha256 string, mtime_ms long, size long, language_id string")
+    with store.transaction("p") as first:
+        store.write("files", rows(first, "a.py"))
+        assert store.latest_snapshot("p") is None
+    assert store.latest_snapshot("p") == first
+    with pytest.raises(RuntimeError, match="halfway"), store.transaction("p") as second:
+        store.write("files", rows(second, "b.py"))
+        raise RuntimeError("halfway")
+    assert store.latest_snapshot("p") == first and store.read("files", "p", second).count() == 0
+    assert {r["id"]: r["failure_reason"] for r in store.snapshots().collect()} == {first: None, second: "halfway"}
