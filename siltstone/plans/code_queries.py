@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.engine import Engine
 from siltstone.functions import text
 from siltstone.operators import architecture, chunk, graph, lookup, resolve, vector
 from siltstone.operators.extract import extract
@@ -19,6 +20,7 @@ from siltstone.plans.catalogue import _DEPENDENCIES, _FAR, _PATHS, _Q0, _SCORE,
 from siltstone.runtime import load, shared_dir
 from siltstone.sources import git, store
 from siltstone.sources.config import Config
+from siltstone.sources.files import scan_files
 from siltstone.streaming import ingest
 
 # --- search ------------------------------------------------------------------------------------------------------------------------
@@ -333,6 +335,62 @@ def replace_changed_rows(spark: SparkSession, sf: str) -> DataFrame:
     return store.replace_for_files(orders, orders.where("o_orderkey % 5 = 0 and o_orderkey % 10 <> 0").withColumn("status", F.lit("new")), changed, "o_orderkey")
 
 
+# --- a project of files --------------------------------------------------------------------------------------------------------------
+
+
+def _write_files(spark: SparkSession, root: str, files: DataFrame) -> None:
+    """Rows (path, content) as files of a project; they come from ``nation``, which has 25 rows at every scale."""
+    sc = spark.sparkContext
+    for r in files.collect():
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
+        out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(r["content"].encode()))
+        out.close()
+
+
+def _nations(spark: SparkSession, sf: str) -> DataFrame:
+    """Nations as Python files, one in five of them in an ignored folder."""
+    n = F.col("n_nationkey")
+    folder = F.when(n % 5 == 4, "build/").otherwise(F.concat(F.lit("src/r"), F.col("n_regionkey"), F.lit("/")))
+    content = F.concat(F.lit("import os\nfrom .n0 import Nation0\n\n\nclass Nation"), n, F.lit(":\n    name = '"), F.col("n_name"), F.lit("'\n"))
+    return load(spark, sf, "nation").select(n.alias("key"), F.concat(folder, F.lit("n"), n, F.lit(".py")).alias("path"), content.alias("content"))
+
+
+_NATION_FILES = (
+    "f AS (SELECT n_nationkey, 'src/r' || n_regionkey || '/n' || n_nationkey || '.py' AS path, 'import os' || chr(10) || 'from .n0 import Nation0' || repeat(chr(10), 3) || 'class Nation' || n_nationkey || ':' || chr(10) "
+    "|| '    name = ' || chr(39) || n_name || chr(39) || chr(10) AS content FROM nation WHERE n_nationkey % 5 <> 4)"
+)
+
+
+@query(f"WITH {_NATION_FILES} SELECT path, length(content) AS size, sha256(rtrim(content, chr(10))) AS sha256, 'python' AS language_id FROM f")
+def scan_project(spark: SparkSession, sf: str) -> DataFrame:
+    """SRC-1, SRC-2, SRC-3, SRC-12, FN-1, FLT-17: a project's files read from its folder"""
+    root = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    _write_files(spark, root, _nations(spark, sf))
+    return scan_files(spark, root).select("path", "size", "sha256", "language_id")
+
+
+@query(f"""WITH {_NATION_FILES}, now AS (SELECT n_nationkey, path FROM f WHERE n_nationkey <> 7)
+SELECT path, 'class' AS kind, CASE WHEN n_nationkey = 3 THEN 'Changed' ELSE 'Nation' || n_nationkey END AS name, CASE WHEN n_nationkey = 3 THEN 1 ELSE 5 END AS line,
+  CASE WHEN n_nationkey = 0 THEN (SELECT string_agg(path, ',' ORDER BY path) FROM now WHERE starts_with(path, 'src/r0/') AND n_nationkey <> 3) ELSE '' END AS callers FROM now""")
+def engine_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """INC-1, INC-2, INC-3, SNK-1, SNK-4, SNK-8, SNK-11, EXT-PY, RES-PY, JOIN-7, SRC-9: a project is indexed, changed (a file goes, another is
+    written anew), and read: the reading indexes what has changed first"""
+    root = f"{shared_dir(spark)}/project-{uuid.uuid4().hex}"
+    files = _nations(spark, sf)
+    _write_files(spark, root, files)
+    engine = Engine(spark, root, store.Store(spark, f"{root}-store"), "p")
+    engine.index()
+    sc = spark.sparkContext
+    for r in files.where("key in (3, 7)").select("path").collect():
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{r['path']}")
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, False)
+    _write_files(spark, root, files.where("key = 3").withColumn("content", F.lit("class Changed:\n    pass\n")))
+    listed = engine.structure().select("path", "kind", "name", F.col("start_line").alias("line"))
+    callers = engine.table("dependencies").where("to_path is not null").groupBy(F.col("to_path").alias("path")).agg(F.array_join(F.array_sort(F.collect_set("from_path")), ",").alias("callers"))
+    return listed.join(callers, "path", "left").withColumn("callers", F.coalesce("callers", F.lit("")))
+
+
 # --- logs --------------------------------------------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
@@ -13,6 +14,11 @@ from siltstone.functions.text import EXTENSION_LANGUAGE, extension, hash_text, l
 from siltstone.sources.ignore import is_ignored, read_patterns
 
 
+def _plain(path: str) -> str:
+    """A path without a local file's scheme and without a slash at the end."""
+    return re.sub("^file:(//)?", "", path).rstrip("/")
+
+
 def _folders(spark: SparkSession, root: str) -> Iterator[tuple[str, bool]]:
     """(folder, readable) of the root and the folders below it. One that can't be read, but for the root, is passed over."""
     sc = spark.sparkContext
@@ -40,13 +46,10 @@ def scan_files(spark: SparkSession, root: str, *, extensions: Sequence[str] = tu
     the extensions are listed, and folders that the rules ignore are left out before anything is read.
     """
     patterns = read_patterns(ignore_text)
-    base = quote(root.rstrip("/").removeprefix("file://")) + "/"
-    plain = root.rstrip("/").removeprefix("file://") + "/"
-    folders = [f for f, readable in _folders(spark, root) if readable]
-    inside = spark.createDataFrame([(f, f.removeprefix("file:").replace("//", "/").removeprefix(plain.replace("//", "/"))) for f in folders], "folder string, path string")
-    kept = [r["folder"] for r in inside.where(~is_ignored(F.col("path"), patterns) | (F.col("folder") == F.col("path"))).collect()]
-    if folders and folders[0] not in kept:
-        kept.append(folders[0])
+    base = quote(_plain(root)) + "/"
+    first, *folders = [f for f, readable in _folders(spark, root) if readable]
+    inside = spark.createDataFrame([(f, _plain(f).removeprefix(_plain(root) + "/")) for f in folders], "folder string, path string")
+    kept = [first, *[r["folder"] for r in inside.where(~is_ignored(F.col("path"), patterns)).collect()]]
     endings = ",".join(e.removeprefix(".") for e in extensions)
     listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{endings}}}").option("ignoreMissingFiles", True).load(kept)
     path = F.url_decode(F.element_at(F.split("path", base, 2), 2))
@@ -70,6 +73,6 @@ def read_contents(spark: SparkSession, root: str, paths: Sequence[str]) -> DataF
             there.append(w)
     if not there:
         return spark.createDataFrame([], "file_path string, content string")
-    base = quote(root.rstrip("/").removeprefix("file://")) + "/"
+    base = quote(_plain(root)) + "/"
     rows = spark.read.format("binaryFile").load(there)
     return rows.select(F.url_decode(F.element_at(F.split("path", base, 2), 2)).alias("file_path"), F.decode("content", "UTF-8").alias("content"))
