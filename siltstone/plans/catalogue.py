@@ -93,14 +93,14 @@ def vec_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_Q0} SELECT vec_id, label, {_FAR} AS distance FROM embeddings e, q WHERE label IN (1, 2, 3) ORDER BY distance, vec_id LIMIT 10")
 def vec_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-1: the filter goes before the top k."""
+    """A filter before the top k; ``vec_prefiltered`` has the library's."""
     rows = load(spark, sf, "embeddings").where(F.col("label").isin(1, 2, 3))
     return vector.top_k(rows, _query_vector(spark, sf), 10, id_col="vec_id").select("vec_id", "label", "distance")
 
 
 @query(f"WITH {_Q0}, t AS (SELECT vec_id, label, {_FAR} AS distance FROM embeddings e, q ORDER BY distance, vec_id LIMIT 20) SELECT * FROM t WHERE label > 4")
 def vec_topk_postfilter(spark: SparkSession, sf: str) -> DataFrame:
-    """FLT-10: the filter goes after the top k, so fewer rows come back."""
+    """A filter after the top k, so fewer rows come back; ``search_pipeline`` has the library's."""
     return vector.top_k(load(spark, sf, "embeddings"), _query_vector(spark, sf), 20, id_col="vec_id").where("label > 4").select("vec_id", "label", "distance")
 
 
@@ -124,7 +124,7 @@ def vec_validate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def vec_count_by_label(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-1"""
+    """Vectors of each label"""
     return load(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -227,7 +227,7 @@ def dependency_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {_LINKS} SELECT href, string_agg(DISTINCT module, ',' ORDER BY module) AS dependents FROM links GROUP BY href")
 def dependents_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    """JOIN-8: the files that need each target"""
+    """The files that need each target, for every link; ``explain_symbols`` has the library's callers"""
     return _links(spark, sf).groupBy("href").agg(F.array_join(F.array_sort(F.collect_set("module")), ",").alias("dependents"))
 
 
@@ -244,7 +244,7 @@ def hash_text(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT {_HASH} AS sha256, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def duplicate_content(spark: SparkSession, sf: str) -> DataFrame:
-    """FN-1, INC-3"""
+    """FN-1"""
     hashed = load(spark, sf, "documents").select("doc_id", text.hash_text(F.col("text")).alias("sha256"))
     return hashed.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
 
@@ -340,7 +340,7 @@ def def_chunks_lead(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH lines AS (SELECT page_id, generate_subscripts(string_split(html, '>'), 1)::INTEGER AS line, unnest(string_split(html, '>')) AS line_text FROM pages) SELECT page_id, min(line) AS first_line, max(line) AS last_line FROM lines WHERE contains(line_text, 'href=') GROUP BY page_id")
 def import_block_bounds(spark: SparkSession, sf: str) -> DataFrame:
-    """AGG-12: inside the row, on the array of tags"""
+    """Bounds inside the row, on the array of tags"""
     hits = F.filter(F.transform(F.split("html", ">"), lambda s, i: F.when(s.contains("href="), i + 1)), lambda i: i.isNotNull())
     rows = load(spark, sf, "pages").select("page_id", hits.alias("hits")).where("size(hits) > 0")
     return rows.select("page_id", F.array_min("hits").alias("first_line"), F.array_max("hits").alias("last_line"))
@@ -404,7 +404,7 @@ def status_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT user_id, round(sum(value), 6) AS churn FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY GROUP BY user_id")
 def churn_recent(spark: SparkSession, sf: str) -> DataFrame:
-    """SRC-8, INC-5"""
+    """The last week's sum for each key; ``churn_from_log`` and ``rolling_churn_windows`` run the library's"""
     events = load(spark, sf, "events")
     newest = events.agg(F.max("ts").alias("newest"))
     recent = events.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("interval 7 days"))
@@ -414,15 +414,14 @@ def churn_recent(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def churn_left_join(spark: SparkSession, sf: str) -> DataFrame:
     """JOIN-13"""
-    counts = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
-    return load(spark, sf, "customer").join(counts, "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders"))
+    counts = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count(F.lit(1)).alias("churn"))
+    return git.with_churn(load(spark, sf, "customer").select("c_custkey"), counts, key="c_custkey").withColumnRenamed("churn", "orders")
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) WHERE place = 1")
 def latest_snapshot(spark: SparkSession, sf: str) -> DataFrame:
-    """WIN-1: as an aggregate, which combines before the shuffle"""
-    newest = F.max(F.struct("ts", "event_id", "event_type")).alias("last")
-    return load(spark, sf, "events").groupBy("user_id").agg(newest).select("user_id", "last.event_id", "last.event_type")
+    """WIN-1: every task keeps one row a key before the shuffle (a group limit of the window)"""
+    return git.latest(load(spark, sf, "events"), keys=["user_id"], order=[F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderstatus AS v FROM orders WHERE o_orderkey % 10 <> 3), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 10 <> 4)
@@ -456,7 +455,7 @@ def copy_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'new' ELSE o_orderstatus END AS status FROM orders")
 def upsert_latest_wins(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-1, SNK-2"""
+    """SNK-1"""
     orders = load(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
     return store.upsert(orders, orders.where("o_orderkey % 5 = 0").withColumn("status", F.lit("new")), ["o_orderkey"])
 
@@ -470,14 +469,14 @@ def stale_cleanup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS place FROM events) SELECT user_id, event_id FROM r WHERE place <= 2""")
 def prune_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """SNK-9, SET-3: what a clean-up keeps, the two newest versions of each key"""
+    """The two newest versions of each key; ``kept_snapshots`` has the library's clean-up"""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     return load(spark, sf, "events").withColumn("place", place).where("place <= 2").select("user_id", "event_id")
 
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
 def page_of_versions(spark: SparkSession, sf: str) -> DataFrame:
-    """SRT-3"""
+    """A page of a sorted list; ``page_of_snapshots`` has the library's"""
     return load(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(50).limit(25).select("o_orderkey", "o_orderstatus")
 
 
@@ -491,7 +490,7 @@ def json_metadata(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT conv_id, role, min(turn) AS first_turn FROM conversations GROUP BY conv_id, role")
 def conversation_first_seen(spark: SparkSession, sf: str) -> DataFrame:
     """AGG-13"""
-    return load(spark, sf, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("first_turn"))
+    return graph.first_seen(load(spark, sf, "conversations"), keys=["conv_id", "role"], at="turn").select("conv_id", "role", F.col("first_seen").alias("first_turn"))
 
 
 # --- names and paths -------------------------------------------------------------------------------------------------------------------
