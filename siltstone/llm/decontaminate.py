@@ -20,8 +20,9 @@ from siltstone.llm import names, scan, tokens
 from siltstone.runtime import materialize, release, ship
 
 WINDOW = 10
-#: Bytes of item text that one automaton may be made from (about 100 MB of memory). More items take several scans.
-AUTOMATON_BYTES = 1 << 20
+#: Bytes of item text that one automaton may be made from: some 140 MB of memory a megabyte, in each Python worker. More items take
+#: several scans.
+AUTOMATON_BYTES = 3 << 20
 
 #: Bytes as the normalisation sees them: word bytes lower-cased, all others a space.
 _NORMAL = bytes(int(tokens.FOLD[b]) if tokens.ALNUM[b] else 0x20 for b in range(256))
