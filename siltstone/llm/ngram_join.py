@@ -36,8 +36,8 @@ from siltstone.runtime import materialize, release, ship, small
 MOST_COUNTED = 1024
 #: Rows that a task looks at together, and how often an n-gram is among them to count as frequent everywhere.
 FLUSH_ROWS, OFTEN = 200_000, 64
-#: Parts that the rows of a frequent n-gram are dealt over.
-SALTS = 4096
+#: Parts that the rows of a frequent n-gram are dealt over. A row's part is in its tag, above this bit; what is below is ``least``.
+SALTS, TAG_BIT = 4096, 40
 #: N-grams in a chunk of a cluster. A longer document is a chunk of its own.
 CHUNK_GRAMS = 400_000
 #: Cells of the membership matrix that one slice of queries may have.
@@ -87,17 +87,17 @@ def _outline(words: int):
 
 
 def _prefix(words: int, percent: int):
-    """Rows (node, text): a row (gram, salt, node, least) for each n-gram of the set's prefix. Its salt is 0, but where the n-gram
-    is frequent among the rows seen with it; then the row is salted, and one row with ``least`` 0 says so to all others."""
+    """Rows (node, text): a row (gram, node, tag) for each n-gram of the set's prefix. Its tag is ``least``, and above it a salt, which
+    is 0 but where the n-gram is frequent among the rows seen with it; then one more row with the tag 0 says so to all others."""
 
     def out(made: list[np.ndarray], owners: list[np.ndarray], least: list[np.ndarray]) -> pa.RecordBatch:
         gram, node, need = np.concatenate(made).view(np.int64), np.concatenate(owners).astype(np.int64), np.concatenate(least)
         values, inverse, counts = np.unique(gram, return_inverse=True, return_counts=True)
         often = counts >= OFTEN
-        salt = np.where(often[inverse], 1 + np.arange(len(gram)) % SALTS, 0).astype(np.int32)
+        salt = np.where(often[inverse], 1 + np.arange(len(gram)) % SALTS, 0)
         told = values[often]
         nothing = np.zeros(len(told), np.int64)
-        return _rows(["gram", "salt", "node", "least"], np.append(gram, told), np.append(salt, nothing.astype(np.int32)), np.append(node, nothing), np.append(need, nothing).astype(np.int32))
+        return _rows(["gram", "node", "tag"], np.append(gram, told), np.append(node, nothing), np.append((salt << TAG_BIT) | need, nothing))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, owners, least, size = [], [], [], 0
@@ -130,7 +130,7 @@ def _starts(keys: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, salt, node, least) sorted by gram: those whose gram is in two prefixes or more, with its count,
+    """Rows (gram, node, tag) sorted by gram: those whose gram is in two prefixes or more, with its count,
     MOST_COUNTED at most and for all that are frequent somewhere. No more rows than that are held for a gram."""
     held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
     frequent = None
@@ -142,8 +142,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(["node", "least", "count", "gram"], node, least, counts[keep].astype(np.int32), gram)
 
     for batch in batches:
-        gram, salt, node, least = (c.to_numpy() for c in batch.columns)
-        salted = salt != 0
+        gram, node, tag = (c.to_numpy() for c in batch.columns)
+        least, salted = (tag & ((1 << TAG_BIT) - 1)).astype(np.int32), tag >> TAG_BIT != 0
         if salted.any():
             yield from out([c[salted] for c in (gram, node, least)], np.full(int(salted.sum()), MOST_COUNTED))
             gram, node, least = (c[~salted] for c in (gram, node, least))
@@ -425,8 +425,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     classes = outline.where("n > 0 and id is not null").groupBy(*key).agg(F.min(F.struct(*row)).alias("head"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select(*key, "copies", "head.*", F.xxhash64(*key).alias("node")), "ngram-classes")
     heads = _with_rows(hashed, classes.select(*row, "node"), broadcast_bytes).select("node", "text")
-    prefixes = heads.mapInArrow(_prefix(words, percent), "gram long, salt int, node long, least int")
-    shared = prefixes.repartition("gram", "salt").sortWithinPartitions("gram").mapInArrow(_counted, "node long, least int, count int, gram long")
+    prefixes = heads.mapInArrow(_prefix(words, percent), "gram long, node long, tag long")
+    shared = prefixes.repartition("gram", F.shiftright("tag", TAG_BIT)).sortWithinPartitions("gram").mapInArrow(_counted, "node long, least int, count int, gram long")
     signed = shared.repartition("node").sortWithinPartitions("node", "count", "gram").mapInArrow(_sign, "key long, node long, other long")
     chained = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_chain, "a long, b long")
     clusters = components(chained)

@@ -217,9 +217,9 @@ def in_batches(names, columns, step):
 def test_counts_of_grams_over_batches(monkeypatch):
     monkeypatch.setattr(ngram_join, "MOST_COUNTED", 4)
     grams = sorted([1] * 3 + [2] + [3] * 9 + [4] * 2 + [5] + [6] * 4)
-    names = ["gram", "salt", "node", "least"]
+    names = ["gram", "node", "tag"]
     for step in (1, 2, 3, 5, 50):
-        columns = [np.array(grams), np.zeros(len(grams), np.int64), np.arange(len(grams)), np.ones(len(grams), np.int32)]
+        columns = [np.array(grams), np.arange(len(grams)), np.ones(len(grams), np.int64)]
         got = sorted((r["node"], r["gram"], r["count"]) for b in ngram_join._counted(in_batches(names, columns, step)) for r in b.to_pylist())
         assert got == [(i, g, min(4, grams.count(g))) for i, g in enumerate(grams) if grams.count(g) > 1]
 
@@ -233,11 +233,11 @@ def test_frequent_grams_are_counted_alike_everywhere(monkeypatch, often, flush):
     texts = ["common line of words here " * (i % 2) + " ".join(rng.choices(["a", "b", "c", "d", "e"], k=6)) for i in range(120)]
     prefixes = {i: g[: ngram_join.prefix_sizes(len(g), 90)[0]].view(np.int64).tolist() for i, g in enumerate(ngram_join.gram_sets(pa.array(texts), 3))}
     made = [r for b in ngram_join._prefix(3, 90)(in_batches(["id", "text"], [list(range(120)), texts], 50)) for r in b.to_pylist()]
-    assert any(r["salt"] for r in made) == (often < 64)
+    assert any(r["tag"] >> ngram_join.TAG_BIT for r in made) == (often < 64)
     rng.shuffle(made)
     made.sort(key=lambda r: r["gram"])
-    names = ["gram", "salt", "node", "least"]
-    columns = [np.array([r[n] for r in made], np.int32 if n in ("salt", "least") else np.int64) for n in names]
+    names = ["gram", "node", "tag"]
+    columns = [np.array([r[n] for r in made], np.int64) for n in names]
     got = [r for b in ngram_join._counted(in_batches(names, columns, 17)) for r in b.to_pylist()]
     holders = Counter(g for p in prefixes.values() for g in p)
     assert Counter((r["node"], r["gram"]) for r in got) == Counter((i, g) for i, p in prefixes.items() for g in p if holders[g] > 1)
